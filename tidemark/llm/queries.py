@@ -5,15 +5,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embedding_dedup import embedding_groups
+from .language_id import identify_languages
+from .minhash import minhash_groups
+from .mixing import mix_sources, mix_sql
+from .packing import pack_documents
 from .suffix_dedup import suffix_dedup
+from .suffix_tree_lm import score_texts
+from .toxicity import score_toxicity
+from .transport_stream import store_transport_streams
+from .url_filter import filter_sql, filter_urls
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=400)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(table(spark, sf_dir, "documents"), shingle_words=5, percent=85)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = store_transport_streams(table(spark, sf_dir, "documents"), with_stream=False)
+    return out.drop("pts", "random_access")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_language_id": op2_language_id,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_packing": op4_packing,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_url_filters": op6_url_filters,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_media_columns": op8_media_columns,
+    "op9_mixing": op9_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filters": filter_sql(),
+    "op9_mixing": mix_sql(),
+}
