@@ -22,8 +22,10 @@ from .common import crc_mod
 
 U = tc.U
 DISCOUNT = 0.75
+#: Standard deviations by which a class's count must differ from the pooled one to count by itself.
+SURE = 6.5
 #: Documents of each class that are used for fitting, at most.
-SLOTS = 2048
+SLOTS = 3072
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[list(range(97, 123)) + list(range(65, 91)) + list(range(128, 256))] = True
@@ -36,93 +38,112 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _pairs(words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Hash of each word with the one before it in its document (0 for a first one: a fixed start)."""
-    before = np.zeros_like(words)
-    before[1:] = words[:-1]
-    before[firsts[:-1][firsts[:-1] < len(words)]] = U(0x1234567)
+    """Hash of each word with the one before it in its document (a fixed start for a first one)."""
+    before = _before(words, firsts)
     with np.errstate(over="ignore"):
         return tc.mix(before * U(0x9E3779B97F4A7C15) ^ words)
 
 
+def _before(words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(words)
+    out[1:] = words[:-1]
+    out[firsts[:-1][firsts[:-1] < len(words)]] = U(0x1234567)
+    return out
+
+
+def _once(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the first occurrence of each value in each document."""
+    order = np.lexsort((x, doc))
+    same = (x[order][1:] == x[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    return order[np.concatenate(([True], ~same))] if len(x) else order
+
+
+def _own(lists: list[np.ndarray], sure: float) -> tuple[np.ndarray, list[tuple[np.ndarray, float]]]:
+    """Values whose counts in the two classes differ surely, with each class's discounted share of them
+    and the share that its discounts leave to backing off."""
+    u, c = np.unique(np.concatenate(lists), return_counts=True)
+    mine = np.bincount(np.searchsorted(u, lists[0]), minlength=len(u)) if len(u) else np.zeros(0)
+    rate = len(lists[0]) / max(1, len(lists[0]) + len(lists[1]))
+    gap = np.abs(mine - c * rate) / np.sqrt(np.maximum(c * rate * (1 - rate), 1e-9))
+    keep = (gap > sure) & (c >= 4)
+    out = []
+    for n, total in ((mine, len(lists[0])), (c - mine, len(lists[1]))):
+        out.append((np.maximum(n[keep] - DISCOUNT, 0) / max(1, total), DISCOUNT * (n > 0).sum() / max(1, total)))
+    return u[keep], out
+
+
 class KneserNey:
-    """Interpolated Kneser-Ney word models of two classes, as sorted arrays of hashes with log ratios.
+    """Interpolated Kneser-Ney models of two classes, as sorted arrays of hashes with log ratios.
 
-    For a class k, P_k(w | v) = max(c_k(v w) - D, 0) / c_k(v) + b_k(v) P_k(w) and
-    P_k(w) = max(c_k(w) - D, 0) / N_k + b_k P(w), where P(w), shared, is the share of all distinct
-    pairs (of both classes) that end in w, smoothed by one."""
+    Each distinct text counts a word or pair once.  P_k(w) = max(c_k(w) - D, 0) / N_k + b_k P(w), where P(w),
+    shared, is the share of all distinct pairs (of both classes) that end in w.  A class has counts of
+    its own only for what it says more or less often than the pooled counts lead to expect, by `sure` standard deviations; whatever
+    is too rare for that is left to the shared counts alone, and weighs nothing.  Pairs
+    add P_k(w | v) = max(c_k(v w) - D, 0) / c_k(v) + b_k(v) P_k(w) under the same rule."""
 
-    def __init__(self, texts: list[list[bytes]]):
-        uni, bi, ctx, follows = [], [], [], []
+    def __init__(self, texts: list[list[bytes]], sure: float = SURE):
+        words, pairs, ends, starts = [], [], [], []
         for group in texts:
-            w_all, p_all, v_all = [], [], []
+            group = list(dict.fromkeys(group))
             data = np.frombuffer(b"".join(group), dtype=np.uint8)
             bounds = np.concatenate(([0], np.cumsum([len(t) for t in group]))).astype(np.int64)
+            w_once, p_once, p_end, p_start = [], [], [], []
             for i, j in tc.chunks(bounds):
                 w, firsts = _words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                before = np.zeros_like(w)
-                before[1:] = w[:-1]
-                before[firsts[:-1][firsts[:-1] < len(w)]] = U(0x1234567)
-                w_all.append(w)
-                p_all.append(_pairs(w, firsts))
-                v_all.append(before)
-            w, p, v = (np.concatenate(x) if x else np.zeros(0, dtype=U) for x in (w_all, p_all, v_all))
-            uni.append(np.unique(w, return_counts=True))
-            u, at, n = np.unique(p, return_index=True, return_counts=True)
-            bi.append((u, n))
-            follows.append((u, w[at], v[at]))
-            ctx.append(np.unique(v, return_counts=True))
-        self.classes = len(texts)
-        # shared continuation counts over the distinct pairs of both classes
-        u, at = np.unique(np.concatenate([f[0] for f in follows]), return_index=True)
-        ends, begins = np.concatenate([f[1] for f in follows])[at], np.concatenate([f[2] for f in follows])[at]
-        self.words = np.unique(np.concatenate([x[0] for x in uni]))
-        cont = np.bincount(np.searchsorted(self.words, ends), minlength=len(self.words)) if len(ends) else np.zeros(len(self.words))
-        shared = (cont + 1.0) / (len(ends) + len(self.words) + 1.0)
-        self.unseen = 1.0 / (len(ends) + len(self.words) + 1.0)
-        self.p_word = np.zeros((self.classes, len(self.words)))
-        self.p_unseen = np.zeros(self.classes)
-        for k, (w, n) in enumerate(uni):
-            total = max(1, n.sum())
-            back = DISCOUNT * len(w) / total if len(w) else 1.0
-            self.p_word[k] = back * shared
-            self.p_word[k, np.searchsorted(self.words, w)] += np.maximum(n - DISCOUNT, 0) / total
-            self.p_unseen[k] = back * self.unseen
-        # pairs that occur twice or more in a class (others only say what the single words say)
-        self.contexts = np.unique(np.concatenate([x[0] for x in ctx]))
-        self.back = np.ones((self.classes, len(self.contexts)))
-        seen = np.unique(np.concatenate([b[0][b[1] > 1] for b in bi]))
-        self.pairs, self.p_pair = seen, np.zeros((self.classes, len(seen)))
-        for k in range(self.classes):
-            v, c = ctx[k]
-            u, n = bi[k]
-            often = n > 1
-            v_of = follows[k][2]
-            c_of = c[np.searchsorted(v, v_of)] if len(v) else np.zeros(0)
-            gained = np.maximum(n - DISCOUNT, 0) * often / np.maximum(c_of, 1)
-            kept = np.bincount(np.searchsorted(self.contexts, v_of), weights=gained, minlength=len(self.contexts)) if len(v_of) else np.zeros(len(self.contexts))
-            self.back[k] = 1.0 - kept
-            self.p_pair[k, np.searchsorted(seen, u[often])] = gained[often]
+                doc = np.repeat(np.arange(j - i), np.diff(firsts))
+                w_once.append(w[_once(w, doc)])
+                p = _pairs(w, firsts)
+                at = _once(p, doc)
+                p_once.append(p[at])
+                p_end.append(w[at])
+                p_start.append(_before(w, firsts)[at])
+            cat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=U)
+            words.append(cat(w_once))
+            pairs.append(cat(p_once))
+            ends.append(cat(p_end))
+            starts.append(cat(p_start))
+        all_pairs, at = np.unique(np.concatenate(pairs), return_index=True)
+        end_of, start_of = np.concatenate(ends)[at], np.concatenate(starts)[at]
+        self.words, p_k = _own(words, sure)
+        known = np.unique(np.concatenate(words))
+        cont = np.bincount(np.searchsorted(known, end_of), minlength=len(known)) if len(end_of) else np.zeros(0)
+        shared = (cont[np.searchsorted(known, self.words)] + 1.0) / (len(end_of) + len(known) + 1.0) if len(self.words) else np.zeros(0)
+        # ratio of the classes for each word that has counts of its own
+        logs = [np.log(own + back * shared) for own, back in p_k]
+        self.ratio = logs[0] - logs[1]
+        # pairs: what a class adds for them, as a share of the pair's first word
+        self.pairs, q_k = _own(pairs, sure)
+        if len(self.pairs):
+            place = np.searchsorted(all_pairs, self.pairs)
+            firsts_, lasts = start_of[place], end_of[place]
+            at, hit = _find(self.words, lasts)
+            fallback = (cont[np.searchsorted(known, lasts)] + 1.0) / (len(end_of) + len(known) + 1.0)
+            sums = []
+            for k in range(2):
+                u, n = np.unique(starts[k], return_counts=True)
+                c_at, c_hit = _find(u, firsts_)
+                c = np.where(c_hit, n[c_at] if len(n) else 0, 0)
+                own, _ = q_k[k]
+                gained = own * len(pairs[k]) / np.maximum(c, 1)
+                word = np.where(hit, np.exp(logs[k][at]) if len(self.words) else 0.0, fallback)
+                sums.append(np.log(gained + (1.0 - np.minimum(gained, 0.99)) * word))
+            self.pair_ratio = sums[0] - sums[1]
+        else:
+            self.pair_ratio = np.zeros(0)
         self.slope, self.bias = 1.0, 0.0
 
     def log_ratios(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per document: log-likelihood ratio (toxic against ordinary) per word, and the number of words."""
         w, firsts = _words(data, bounds)
         n = np.diff(firsts)
-        if not len(w) or not len(self.words):
-            return np.zeros(len(n)), n
-        before = np.zeros_like(w)
-        before[1:] = w[:-1]
-        before[firsts[:-1][firsts[:-1] < len(w)]] = U(0x1234567)
-        p = _pairs(w, firsts)
-        at, known = _find(self.words, w)
-        c_at, c_known = _find(self.contexts, before)
-        p_at, p_known = _find(self.pairs, p)
-        logs = []
-        for k in range(self.classes):
-            one = np.where(known, self.p_word[k, at], self.p_unseen[k])
-            both = np.where(c_known, self.back[k, c_at], 1.0) * one + (np.where(p_known, self.p_pair[k, p_at], 0.0) if len(self.pairs) else 0.0)
-            logs.append(np.log(both))
-        return tc.group_sums(logs[0] - logs[1], firsts) / np.maximum(n, 1), n
+        r = np.zeros(len(w))
+        if len(w) and len(self.words):
+            at, hit = _find(self.words, w)
+            r = np.where(hit, self.ratio[at], 0.0)
+        if len(w) and len(self.pairs):
+            at, hit = _find(self.pairs, _pairs(w, firsts))
+            r = np.where(hit, self.pair_ratio[at], r)
+        return tc.group_sums(r, firsts) / np.maximum(n, 1), n
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         r, n = self.log_ratios(data, bounds)
@@ -136,15 +157,15 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == x
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and bias of a one-variable logistic regression by Newton's method, lightly regularised."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and bias of a weighted one-variable logistic regression by Newton's method, lightly regularised."""
     scale = x.std() or 1.0
     z = np.stack([x / scale, np.ones_like(x)], axis=1)
     b = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        g = z.T @ (p - y) + 1e-2 * b * [1, 0]
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-2, 1e-9])
+        g = z.T @ (weight * (p - y)) + 1e-2 * b * [1, 0]
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1e-2, 1e-9])
         step = np.linalg.solve(h, g)
         b -= step
         if np.abs(step).max() < 1e-9:
@@ -164,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, slots: int = SLOTS) -
     present = docs.select("doc_id").where(train)
     chosen = sample_by_slot(known.join(present, "doc_id", "left_semi"), "toxic", slots, F.col("doc_id"))
     # at most 2 * slots ids
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h").collect()
     rows = [(r.toxic, r.text.encode()) for r in rows]
     groups = [[t for y, t in rows if y == k] for k in (1, 0)]
@@ -185,7 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, slots: int = SLOTS) -
                 y.append(np.full(b - a, float(label)))
     model = KneserNey(groups)
     if x:
-        model.slope, model.bias = _logistic(np.concatenate(x), np.concatenate(y))
+        # weighted as the classes are among all labels
+        y_all = np.concatenate(y)
+        weight = np.where(y_all == 1, sizes[1] / max(1, len(groups[0])), sizes[0] / max(1, len(groups[1])))
+        model.slope, model.bias = _logistic(np.concatenate(x), y_all, weight / weight.mean())
     return model
 
 
