@@ -96,6 +96,7 @@ def mix_sources(
     source_weights: dict | None = None,
     tokens: Column | None = None,
     domain: Column | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How often each document is taken so that sources meet their target weights.
 
@@ -104,9 +105,10 @@ def mix_sources(
     the tokens up to and with it don't exceed what whole epochs leave of the quota, so a leaf falls short
     of its quota by less than its next document.  A null lang or source is the empty name;
     null texts have no tokens and go with the prefix they stand in.  Leaves without tokens get nothing.
-    Rows with one id are ordered by their tokens and all counted.  Other columns are ignored."""
+    Rows with one id are ordered by their tokens and all counted.  Of other columns, those named in `carry` come
+    along as the struct `row`, without being shuffled but for the few rows where a prefix ends."""
     leaf = ["domain", "lang", "source"]
-    named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), (token_count(F.col("text")) if tokens is None else tokens).alias("n_tokens"), (domain_of(F.col("source")) if domain is None else F.coalesce(domain, F.lit(""))).alias("domain"))
+    named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), (token_count(F.col("text")) if tokens is None else tokens).alias("n_tokens"), (domain_of(F.col("source")) if domain is None else F.coalesce(domain, F.lit(""))).alias("domain"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []))
     weights = [DOMAIN_WEIGHTS if domain_weights is None else domain_weights, LANG_WEIGHTS if lang_weights is None else lang_weights, SOURCE_WEIGHTS if source_weights is None else source_weights]
     budgets = leaf_budgets(named.select(*leaf, F.col("n_tokens").alias("tokens")), total, max_epochs, *weights)
     whole = F.when(F.col("available") > 0, F.expr("quota div available")).otherwise(0)
@@ -121,7 +123,7 @@ def mix_sources(
     ends = save(ends.select(*leaf, F.col("end.digits").alias("end_digits"), F.col("end.before").alias("before")))
     placed = keyed.join(small(ends), leaf, "left")
     taken = F.when(F.col("end_digits").isNull() | (F.col("digits") < F.col("end_digits")), 1).otherwise(0)
-    columns = ["doc_id", *leaf, "n_tokens", "quota"]
+    columns = ["doc_id", *leaf, "n_tokens", "quota", *(["row"] if carry else [])]
     sure = placed.where("end_digits is null or digits != end_digits").select(*columns, (F.col("whole") + F.when(F.col("quota") > 0, taken).otherwise(0)).cast("long").alias("epochs"))
     at_end = placed.where("digits = end_digits")
     so_far = F.sum("n_tokens").over(Window.partitionBy(*leaf, "digits").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))

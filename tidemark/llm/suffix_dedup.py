@@ -142,14 +142,17 @@ def _window_rows(length: int):
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     """docs (rid, text) -> (rid, start, len): runs of starts whose window of `length` bytes starts elsewhere too."""
     core_only = docs.select("rid", "text").mapInArrow(_cell_rows(length, True), "core long")
-    common = core_only.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # written, so that the join reads both sides from a plain exchange, whose hot cores it can split
+    common = save(core_only.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     all_cells = docs.select("rid", "text").mapInArrow(_cell_rows(length, False), CELL_SCHEMA)
     kept = save(all_cells.join(common, "core", "left_semi"))
     extents = kept.groupBy("extent").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
     kept = save(kept.join(extents, "extent"))
     full = kept.where("n > 1").select("rid", "start", "len")
-    open_cores = kept.where("n = 1").select("core").distinct()
-    compared = kept.where("n = 1 or rid = first").join(open_cores, "core", "left_semi")
+    alone = kept.where("n = 1").select("core", "extent", "rid", "start", "len", "n")
+    # one member of each extent that occurs twice or more; equal extents have as many starts
+    witness = kept.where("n > 1 and rid = first").groupBy("core", "extent", "rid", "len", "n").agg(F.min("start").alias("start"))
+    compared = alone.unionByName(witness.join(alone.select("core").distinct(), "core", "left_semi"))
     lists = compared.groupBy("rid").agg(F.collect_list(F.struct("start", "len", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))).alias("cells"))
     windows = save(docs.select("rid", "text").join(lists, "rid").mapInArrow(_window_rows(length), "h long, rid long, start int, weight int"))
     twice = windows.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h")

@@ -214,26 +214,26 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, slots: int = SLOTS) -
     return model
 
 
-def _score_rows(model: KneserNey | None):
+def _score_rows(model: KneserNey | None, keep_text: bool):
     def rows(batches):
         for batch in batches:
             data, bounds = tc.column_bytes(batch.column("text"))
             out = [model.scores(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in tc.chunks(bounds)] if model else [np.zeros(len(bounds) - 1)]
             score = np.concatenate(out) if out else np.zeros(0)
-            rest = [c for c in batch.schema.names if c != "text"]
+            rest = batch.schema.names if keep_text else [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[*rest, "score", "predicted"])
 
     return rows
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, slots: int = SLOTS) -> DataFrame:
-    """Score every whole text: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, slots: int = SLOTS, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Score every whole text: `columns`, held_out, score (0 to 1), predicted (1 from 0.5 on).
 
     Labels of documents whose crc32(doc_id as text) mod held_out_mod is 0 are never used.  Empty and
     null texts, and texts without letters, have the score of a log ratio of 0.  Without labels of both
     classes every score is 0.  Rows with a null id are scored and belong to the held-out
     part (crc32 of the empty text is 0); repeated rows are each scored; other columns are ignored."""
     model = fit(docs, labels, crc_mod("doc_id", held_out_mod) != 0, slots)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.select("doc_id", (crc_mod("doc_id", held_out_mod) == 0).alias("held_out"), "text")
-    return base.mapInArrow(_score_rows(model), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    base = docs.select(*(F.col(f"`{c}`") for c in columns), (crc_mod("doc_id", held_out_mod) == 0).alias("held_out"), *([] if "text" in columns else ["text"]))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return base.mapInArrow(_score_rows(model, "text" in columns), f"{kinds}, held_out boolean, score double, predicted int")
