@@ -74,7 +74,7 @@ s1 as (select *, case when nx is not null then cast(nx > close as bigint) end as
 s2 as (select *, row_number() over (partition by symbol order by timestamp) - 1 as pos, count(*) over (partition by symbol) as total from s1
   where y is not null and ret_1 is not null and ret_3 is not null and ret_6 is not null and vol_6 is not null and vol_12 is not null and vol_ratio_6_12 is not null and parkinson_6 is not null
   and garman_klass_6 is not null and dist_high_6 is not null and dist_high_12 is not null and gap is not null and rsi_14 is not null),
-fd as (select symbol, any_value(total) as total, unnest([0, 1, 2]) as fold from s2 group by symbol),
+fd as (select symbol, any_value(total) as total, unnest([0::bigint, 1, 2]) as fold from s2 group by symbol),
 rt as (select fd.symbol, fd.fold, any_value(fd.total) - (3 - fd.fold) * 24 as t0, avg(y) as prior, coalesce(avg(case when ret_1 > 0 then y end), 0.5) as up, coalesce(avg(case when not ret_1 > 0 then y end), 0.5) as down
   from fd left join s2 on s2.symbol = fd.symbol and s2.pos < fd.total - (3 - fd.fold) * 24 - 6 group by fd.symbol, fd.fold),
 te as (select s2.*, rt.fold, prior, up, down from s2 join rt on rt.symbol = s2.symbol and s2.pos >= rt.t0 and s2.pos < rt.t0 + 24),
@@ -82,7 +82,7 @@ pred as (select *, 'prior' as model, prior as p_up from te union all select *, '
 
 PRED = f"{BASE}, {RET}, {RSI}, {FEATURES}, {FORECASTS}"
 
-STRATEGY = """st0 as (select *, case when p_up > 0.5 then 1.0 when p_up < 0.5 then -1.0 else 0.0 end as position from pred),
+STRATEGY = """st0 as (select *, case when p_up > 0.5 then 1.0::double when p_up < 0.5 then -1.0::double else 0.0::double end as position from pred),
 st1 as (select *, position * ret_next as gross, abs(position - coalesce(lag(position) over (partition by symbol, model order by timestamp), 0)) as change from st0),
 st as (select *, gross - 0.001 * change as net, row_number() over (partition by symbol, model order by timestamp) as i from st1),
 eq as (select *, product(1 + net) over (partition by symbol, model order by timestamp rows between unbounded preceding and current row) as equity from st),

@@ -316,7 +316,7 @@ def backtest_metrics(spark: SparkSession, d: str) -> DataFrame:
     return pick(backtest.backtest_metrics(_pred(spark, d), 0.001, _BPY), "symbol, model", ", ".join(backtest.METRICS), 6)
 
 
-_HOLD = "hold as (select p.* replace ('buy_and_hold' as model, 1.0 as p_up) from pred p where model = 'momentum_sign')"
+_HOLD = "hold as (select p.* replace ('buy_and_hold' as model, 1.0::double as p_up) from pred p where model = 'momentum_sign')"
 
 
 @query(f"{o.PRED}, {_HOLD}, {o.STRATEGY.replace('from pred)', 'from (select * from pred union all select * from hold))')}, {_METRICS_SQL} select symbol, model, {o.rounded(', '.join(backtest.METRICS), 6)} from bm")
