@@ -10,8 +10,9 @@ threshold, and what is left is confirmed on the full sets.
 
 No bucket is ever expanded into all its pairs.  Equal sets are one node.  In each bucket
 every member is first compared with the bucket's smallest; links found so make components.
-Only a bucket whose members then still lie in several components is looked at again, and
-there only members of different components are compared, in blocks of bounded size.  As a
+Only buckets whose members then still lie in several components are looked at again, and
+there only members of different components are compared, in blocks of bounded size that send on
+nothing but links.  As a
 pair within one component can't change the components, the result is that of all pairs.
 """
 
@@ -161,37 +162,92 @@ def _linked_rows(size: int, percent: int):
     return rows
 
 
-def _block_pairs(threshold: float, percent: int):
-    """One block of a bucket: likely pairs across components."""
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of their incidence matrices."""
+    sizes = [len(u) for u in left + right]
+    _, ids, times = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    often = times[ids] > 1
+    column = np.cumsum(times > 1) - 1
+    ids, owner = column[ids[often]], owner[often]
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    out = np.zeros((len(left), len(right)))
+    width = 4096
+    for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
+        i, j = np.searchsorted(ids, (low, low + width))
+        m = np.zeros((len(sizes), width), dtype=np.float32)
+        m[owner[i:j], ids[i:j] - low] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _block_links(size: int, threshold: float, percent: int):
+    """One block of a group of buckets: links across components, as pairs of components."""
     import pandas as pd
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]
+        if not len(left) or not len(right):
+            return none
         ra, rb = (np.frombuffer(b"".join(map(bytes, p.regs)), dtype=np.uint16).reshape(-1, K) for p in (left, right))
-        ca, cb, na, nb, ia, ib = left.component.to_numpy(), right.component.to_numpy(), left.n.to_numpy(), right.n.to_numpy(), left.node.to_numpy(), right.node.to_numpy()
-        out = []
+        ca, cb, na, nb = left.component.to_numpy(), right.component.to_numpy(), left.n.to_numpy(), right.n.to_numpy()
+        likely = np.zeros((len(left), len(right)), dtype=bool)
         for k in range(len(left)):
             n = np.minimum(na[k], nb)
             ok = (cb != ca[k]) & (100 * n >= percent * np.maximum(na[k], nb))
             ok[ok] &= estimate((rb[ok] == ra[k]).sum(axis=1), n[ok]) >= least_estimate(n[ok], threshold)
-            out.append(np.stack([np.maximum(ia[k], ib[ok]), np.minimum(ia[k], ib[ok])], axis=1))
-        a = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": a[:, 0], "b": a[:, 1]})
-
-    return pairs
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+            likely[k] = ok
+        rows, cols = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+        if not len(rows):
+            return none
+        sets = [list(_document_sets(pa.array(p.text.iloc[at], pa.string()), size)) for p, at in ((left, rows), (right, cols))]
+        both = _overlaps(*sets)
+        union = np.array([len(u) for u in sets[0]])[:, None] + np.array([len(u) for u in sets[1]])[None, :] - both
+        i, j = np.nonzero(likely[np.ix_(rows, cols)] & (100 * both >= percent * union))
+        x, y = ca[rows[i]], cb[cols[j]]
+        pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return links
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of (a, b) node pairs, those that are linked.  nodes: (node, n, regs)."""
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    likely = save(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely_rows(percent / 100), "a long, b long"))
-    taking_part = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = save(docs.join(taking_part, "doc_id", "left_semi").select("doc_id", "text"))
-    both = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    likely = save(pairs.hint("merge").join(one, "a").join(two.hint("merge"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely_rows(percent / 100), "a long, b long"))
+    both = likely.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
     return save(both.select("a", "b", "ta", "tb").mapInArrow(_linked_rows(size, percent), "a long, b long"))
 
 
+def _across(hits: DataFrame, known: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links between components that share a bucket, as pairs of components; None if no bucket holds several.
+
+    Buckets that share members are one group, so that a pair which many bands bring together is compared once."""
+    members = hits.where("size > 2").join(known, "node", "left").select("key", "node", "b", F.coalesce("component", "node").alias("component"))
+    mixed = save(members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
+    if mixed.isEmpty():
+        return None
+    groups = components(hits.where("size > 2 and node != b").join(mixed, "key").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "group")
+    placed = save(groups.join(nodes.select("node", "n"), "node").join(known, "node", "left").select("group", "node", "n", F.coalesce("component", "node").alias("component")))
+    shares = placed.groupBy("group", "component").agg(F.count("*").alias("m"))
+    sizes = save(shares.groupBy("group").agg(F.max_by("component", "m").alias("main"), F.max("m").alias("main_size"), F.sum("m").alias("all_size"), F.count("*").alias("kinds")).where("kinds > 1"))
+    placed = placed.join(sizes, "group")
+    columns = ["group", "node", "n", "component"]
+    small = placed.where(F.col("all_size") <= BLOCK).select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
+    # blocks 1..few are outside the largest component, and are compared with each other and with its blocks
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    few, many = blocks(F.col("all_size") - F.col("main_size")), blocks(F.col("main_size"))
+    own = F.when(F.col("component") == F.col("main"), F.lit(1) + few + F.pmod(F.xxhash64("node"), many)).otherwise(F.lit(1) + F.pmod(F.xxhash64("node"), few)).cast("int")
+    large = placed.where(F.col("all_size") > BLOCK).select(*columns, own.alias("own"), few.alias("few"), (few + many).alias("blocks"))
+    as_left = large.where("own <= few").select(*columns, F.col("own").alias("i"), F.explode(F.sequence("own", "blocks")).alias("j"), F.lit(0).alias("side"))
+    as_right = large.select(*columns, F.explode(F.sequence(F.lit(1), F.least("own", "few"))).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    dealt = small.unionByName(as_left).unionByName(as_right).join(nodes.select("node", "regs"), "node").join(texts, "node")
+    return save(dealt.groupBy("group", "i", "j").applyInPandas(_block_links(size, percent / 100, percent), "a long, b long").distinct())
+
+
 def minhash_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 85, rows_per_band: int = 5) -> DataFrame:
     """Link documents with 100 * |A and B| >= percent * |A or B| over their sets of word shingles.
 
@@ -209,29 +265,18 @@ def minhash_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 85, r
     light = nodes.select("node", "n", "regs")
     bands = nodes.select("node", "n", F.explode(F.expr(f"transform(sequence(0, {K // rows_per_band - 1}), i -> xxhash64(i, substring(regs, i * {2 * rows_per_band} + 1, {2 * rows_per_band})))")).alias("key"))
     groups = save(bands.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("size")).where("size > 1"))
+    hits = save(bands.join(groups, "key"))
+    # always dealt by id, however few take part: the texts are what is large
+    texts = save(base.join(hits.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
     # first each member with the smallest of its bucket
-    sizes = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    star = save(bands.join(groups, "key").where("node != b").select(F.col("node").alias("a"), "b", "n").distinct())
-    star = star.join(sizes, "b").where(f"100 * least(n, nb) >= {percent} * greatest(n, nb)").select("a", "b")
-    links = _confirmed(star, light, base, shingle_words, percent)
+    first = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+    star = hits.where("node != b").select(F.col("node").alias("a"), "b", "n").distinct().join(first, "b").where(f"100 * least(n, nb) >= {percent} * greatest(n, nb)").select("a", "b")
+    links = _confirmed(star, light, texts, shingle_words, percent)
     known = components(links)
     # then, in buckets of three and more that hold several components, members of different ones
-    members = bands.join(groups.where("size > 2").select("key"), "key").join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    shares = members.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed = shares.groupBy("key").agg(F.max_by("component", "m").alias("main"), F.max("m").alias("main_size"), F.sum("m").alias("all_size"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = save(members.join(mixed, "key").select("key", "node", "n", "component", (F.col("component") == F.col("main")).alias("in_main"), "main_size", "all_size"))
-    if not mixed.isEmpty():
-        blocks = lambda size: F.ceil(size / BLOCK).cast("int")
-        few, many = blocks(F.col("all_size") - F.col("main_size")), blocks(F.col("main_size"))
-        own = F.when(F.col("in_main"), F.lit(1) + few + F.pmod(F.xxhash64("node"), many)).otherwise(F.lit(1) + F.pmod(F.xxhash64("node"), few)).cast("int")
-        # blocks 1..few are outside the largest component, and are compared with each other and with its blocks
-        placed = mixed.select("key", "node", "n", "component", own.alias("own"), few.alias("few"), (few + many).alias("blocks"))
-        as_left = placed.where("own <= few").select("key", "node", "n", "component", F.col("own").alias("i"), F.explode(F.sequence("own", "blocks")).alias("j"), F.lit(0).alias("side"))
-        as_right = placed.select("key", "node", "n", "component", F.explode(F.sequence(F.lit(1), F.least("own", "few"))).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
-        dealt = as_left.unionByName(as_right).join(light.select("node", "regs"), "node")
-        more = save(dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(percent / 100, percent), "a long, b long").where("a != b").distinct())
-        if not more.isEmpty():
-            known = components(links.unionByName(_confirmed(more, light, base, shingle_words, percent)))
+    more = _across(hits, known, light, texts, shingle_words, percent)
+    if more is not None and not more.isEmpty():
+        known = components(links.unionByName(more))
     named = nodes.join(known, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
     out = sketches.where("n > 0").join(named, ["f1", "f2"], "left").unionByName(sketches.where("n = 0").withColumn("component", F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
