@@ -226,6 +226,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, passes: int =
     members = save(nodes.join(known, "node").select("node", "component", "copies", "v"))
     doubles = members.mapInArrow(_doubles, "component long, x array<double>")
     mean = doubles.select("component", F.posexplode("x")).groupBy("component", "pos").agg(F.avg("col").alias("m")).groupBy("component").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).getField("m").alias("mean"))
+    mean = save(mean)  # so that the join can split a hot component
     angles = save(members.join(mean, "component").select("node", "component", "copies", "v", "mean").mapInArrow(_angle_rows, "node long, component long, copies long, v binary, angle double"))
     sizes = save(angles.groupBy("component").agg(F.max("angle").alias("widest"), F.sum("copies").alias("all_copies"), F.count("*").alias("size")))
     judged = angles.join(sizes, "component")
