@@ -49,3 +49,19 @@ def test_empty(spark, tiny):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, tiny)
     assert docs.count() == 0
+
+
+def test_odd_rows(spark, tiny):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing columns in every stage."""
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, "x y", None, None, None), (None, None, None, None, None), (2, None, "en", "s", None), (3, "", None, "s", 0), (4, "w " * 60_000, "de", None, 120_000), (5, "é" * 30_000, "fr", "t", 30_000)]
+    docs = spark.createDataFrame([(*r, 1, "k", 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, rid int, row string, score double")
+    kept = corpus_pipeline.toxicity(spark, docs, tiny)
+    assert kept.count() == len(rows)
+    one = corpus_pipeline.near_dedup(spark, kept, tiny)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in one.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (True, 0), (True, 0)]
+    cut = corpus_pipeline.suffix_array_dedup(spark, one, tiny)
+    # texts 4 and 5 repeat themselves throughout and go; empty ones stay
+    assert sorted((r.doc_id or 0, r.text) for r in cut.collect()) == [(0, ""), (0, "x y"), (1, "a b c"), (2, ""), (3, "")]
+    mixed = corpus_pipeline.mixing(spark, cut, tiny)
+    assert set(mixed.columns) == set(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.packing(spark, mixed, tiny).count() >= 0
