@@ -26,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Whole documents that an Arrow batch holds, at most.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows here are whole documents, and 10000 of them a batch (the default) would be copied several times over
+    in each worker; a size that the session has set itself is left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and return a scan of it: later steps no longer
     depend on what executors hold.  The driver then lets go of shuffle files that only
@@ -34,10 +46,18 @@ def save(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that save() wrote, once everything that reads it has been written itself."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_names(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that whatever else a table carries can't clash with ours."""
     return df.select(*(F.col(f"`{n}`") for n in names))
@@ -66,4 +86,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = save(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, save(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import save
+from .common import discard, save, small_batches
 
 WINDOW, PERIOD, TIER = 8, 64, 128
 CELL_SCHEMA = "core long, extent long, rid long, start int, len int"
@@ -141,22 +141,26 @@ def _window_rows(length: int):
 
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     """docs (rid, text) -> (rid, start, len): runs of starts whose window of `length` bytes starts elsewhere too."""
-    core_only = docs.select("rid", "text").mapInArrow(_cell_rows(length, True), "core long")
+    core_only = docs.select("rid", "text").mapInArrow(tc.releasing(_cell_rows(length, True)), "core long")
     # written, so that the join reads both sides from a plain exchange, whose hot cores it can split
     common = save(core_only.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
-    all_cells = docs.select("rid", "text").mapInArrow(_cell_rows(length, False), CELL_SCHEMA)
+    all_cells = docs.select("rid", "text").mapInArrow(tc.releasing(_cell_rows(length, False)), CELL_SCHEMA)
     kept = save(all_cells.join(common, "core", "left_semi"))
-    extents = kept.groupBy("extent").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
-    kept = save(kept.join(extents, "extent"))
+    discard(common)
+    extents = save(kept.groupBy("extent").agg(F.count("*").alias("n"), F.min("rid").alias("first")).where("n > 1"))
+    found, kept = kept, save(kept.join(extents, "extent", "left").withColumn("n", F.coalesce("n", F.lit(1))))
+    discard(found)
+    discard(extents)
     full = kept.where("n > 1").select("rid", "start", "len")
     alone = kept.where("n = 1").select("core", "extent", "rid", "start", "len", "n")
     # one member of each extent that occurs twice or more; equal extents have as many starts
     witness = kept.where("n > 1 and rid = first").groupBy("core", "extent", "rid", "len", "n").agg(F.min("start").alias("start"))
     compared = alone.unionByName(witness.join(alone.select("core").distinct(), "core", "left_semi"))
     lists = compared.groupBy("rid").agg(F.collect_list(F.struct("start", "len", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"))).alias("cells"))
-    windows = save(docs.select("rid", "text").join(lists, "rid").mapInArrow(_window_rows(length), "h long, rid long, start int, weight int"))
+    windows = save(docs.select("rid", "text").join(lists, "rid").mapInArrow(tc.releasing(_window_rows(length)), "h long, rid long, start int, weight int"))
     twice = windows.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h")
-    single = windows.where("weight = 1").join(twice, "h", "left_semi").select("rid", "start", F.lit(1).alias("len"))
+    single = save(windows.where("weight = 1").join(twice, "h", "left_semi").select("rid", "start", F.lit(1).alias("len")))
+    discard(windows)
     return full.unionByName(single)
 
 
@@ -199,10 +203,11 @@ def suffix_dedup(docs: DataFrame, length: int = 400, columns: tuple[str, ...] =
     n_spans and kept_sha256.  Null texts are empty; texts under `length` bytes are kept
     whole; rows with the same id and text are judged as two places.  Other columns are ignored.
     An empty table gives an empty table."""
+    small_batches(docs.sparkSession)
     base = docs.select(*(F.col(f"`{c}`") for c in columns), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     base = base.withColumn("rid", F.xxhash64(*columns, "text"))
     starts = repeated_starts(base, length).groupBy("rid").agg(F.collect_list(F.struct("start", "len")).alias("starts"))
     joined = base.join(starts, "rid", "left")
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), *(["text string"] if with_text else []), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    return joined.select(*columns, "text", "starts").mapInArrow(_cut_rows(length, with_text), schema)
+    return joined.select(*columns, "text", "starts").mapInArrow(tc.releasing(_cut_rows(length, with_text)), schema)

@@ -8,16 +8,36 @@ of about n * n / 2**65.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import sys
+
 import numpy as np
 
 U = np.uint64
 #: Bytes of text that are handled at once; bounds the temporary arrays (some 60 bytes per byte).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 
 
+def releasing(rows):
+    """A function over Arrow batches that, when it has seen them all, gives freed memory back to the system:
+    workers live on between stages."""
+
+    @functools.wraps(rows)
+    def run(batches):
+        yield from rows(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (the splitmix64 constants)."""
     x = x ^ (x >> U(30))
