@@ -6,26 +6,28 @@ rare expression weighs only what its own counts say.  A text's score compares it
 log-likelihoods under the two.  A text is judged by its words (runs of letters, lower-cased) and
 its pairs of neighbouring words.
 
-The models are fitted on a bounded sample of labelled documents: of each class, the `slots`
-documents with the least hash in their slot.  Scoring is a single pass over all whole texts.
+The models are fitted on a bounded sample of labelled documents: in each slot of a hash, the
+document with the least one.  Scoring is a single pass over all whole texts.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import crc_mod
+from .common import crc_mod, small_batches
 
 U = tc.U
 DISCOUNT = 0.75
 #: Standard deviations by which a class's count must differ from the pooled one to count by itself.
 SURE = 6.5
-#: Documents of each class that are used for fitting, at most.
-SLOTS = 3072
+#: Toxic documents that are used for fitting, at most; half as many again of the ordinary ones.
+SLOTS = 2048
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[list(range(97, 123)) + list(range(65, 91)) + list(range(128, 256))] = True
@@ -173,22 +175,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(b[0] / scale), float(b[1])
 
 
-def sample_by_slot(rows: DataFrame, label: str, slots: int, key: Column) -> DataFrame:
+def sample_by_slot(rows: DataFrame, label: str, slots: Column, key: Column) -> DataFrame:
     """At most `slots` rows of each label: the one with the least hash in each slot.  rows: (doc_id, label)."""
-    h = rows.withColumn("_h", F.xxhash64(key, F.lit(5))).withColumn("_slot", F.pmod("_h", F.lit(slots)))
+    h = rows.withColumn("_h", F.xxhash64(key, F.lit(5))).withColumn("_slot", F.pmod("_h", slots))
     return h.groupBy(label, "_slot").agg(F.min(F.struct("_h", "doc_id")).alias("m")).select(label, F.col("m.doc_id").alias("doc_id"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, slots: int = SLOTS) -> KneserNey | None:
-    """Fit on at most `slots` toxic and `slots` ordinary documents; None if a class has none."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(train)
-    present = docs.select("doc_id").where(train)
-    chosen = sample_by_slot(known.join(present, "doc_id", "left_semi"), "toxic", slots, F.col("doc_id"))
-    # at most 2 * slots ids
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h").collect()
-    rows = [(r.toxic, r.text.encode()) for r in rows]
-    groups = [[t for y, t in rows if y == k] for k in (1, 0)]
+def fit_texts(groups: list[list[bytes]], sizes: tuple[int, int]) -> KneserNey | None:
+    """A calibrated model of toxic and ordinary texts; None if there are none of one.  sizes: how many labels each class has."""
     if not all(groups):
         return None
     # calibrated on the third of the sample that a model of the other two thirds hasn't seen, then fitted on all
@@ -209,11 +203,47 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, slots: int = SLOTS) -
     if x:
         # weighted as the classes are among all labels
         y_all = np.concatenate(y)
-        weight = np.where(y_all == 1, sizes[1] / max(1, len(groups[0])), sizes[0] / max(1, len(groups[1])))
+        weight = np.where(y_all == 1, sizes[0] / len(groups[0]), sizes[1] / len(groups[1]))
         model.slope, model.bias = _logistic(np.concatenate(x), y_all, weight / weight.mean())
     return model
 
 
+PARTS = ("words", "ratio", "pairs", "pair_ratio", "slope", "bias")
+
+
+def _fit_rows(sizes: tuple[int, int]):
+    def rows(batches):
+        groups: list[list[bytes]] = [[], []]
+        for batch in batches:
+            for y, t in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                groups[1 - y].append(t.encode())
+        model = fit_texts(groups, sizes)
+        raw = pickle.dumps(tuple(getattr(model, k) for k in PARTS)) if model else None
+        yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["model"])
+
+    return rows
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, slots: int = SLOTS) -> KneserNey | None:
+    """Fit on at most `slots` toxic and half as many again ordinary documents, in one task; None if a class has none.
+
+    Only the model comes to the driver: the few expressions that have counts of their own."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(train)
+    present = docs.select("doc_id").where(train)
+    of_class = F.when(F.col("toxic") == 1, slots).otherwise(slots + slots // 2).cast("long")
+    chosen = sample_by_slot(known.join(present, "doc_id", "left_semi"), "toxic", of_class, F.col("doc_id"))
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # at most 2.5 * slots ids and texts
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"))
+    out = rows.repartition(1).sortWithinPartitions("h", "toxic").select("toxic", "text").mapInArrow(tc.releasing(_fit_rows((sizes.get(1, 0), sizes.get(0, 0)))), "model binary").collect()
+    if not out or out[0].model is None:
+        return None
+    model = object.__new__(KneserNey)
+    for k, v in zip(PARTS, pickle.loads(bytes(out[0].model)), strict=True):
+        setattr(model, k, v)
+    return model
+
+
 def _score_rows(model: KneserNey | None, keep_text: bool):
     def rows(batches):
         for batch in batches:
@@ -233,7 +263,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, sl
     null texts, and texts without letters, have the score of a log ratio of 0.  Without labels of both
     classes every score is 0.  Rows with a null id are scored and belong to the held-out
     part (crc32 of the empty text is 0); repeated rows are each scored; other columns are ignored."""
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, crc_mod("doc_id", held_out_mod) != 0, slots)
     base = docs.select(*(F.col(f"`{c}`") for c in columns), (crc_mod("doc_id", held_out_mod) == 0).alias("held_out"), *([] if "text" in columns else ["text"]))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return base.mapInArrow(_score_rows(model, "text" in columns), f"{kinds}, held_out boolean, score double, predicted int")
+    return base.mapInArrow(tc.releasing(_score_rows(model, "text" in columns)), f"{kinds}, held_out boolean, score double, predicted int")
