@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import components, save
+from .common import components, save, small_batches
 
 K, MANTISSA = 128, 10
 BLOCK = 256
@@ -217,9 +217,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
     """Of (a, b) node pairs, those that are linked.  nodes: (node, n, regs)."""
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    likely = save(pairs.hint("merge").join(one, "a").join(two.hint("merge"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely_rows(percent / 100), "a long, b long"))
+    likely = save(pairs.hint("merge").join(one, "a").join(two.hint("merge"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(tc.releasing(_likely_rows(percent / 100)), "a long, b long"))
     both = likely.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    return save(both.select("a", "b", "ta", "tb").mapInArrow(_linked_rows(size, percent), "a long, b long"))
+    return save(both.select("a", "b", "ta", "tb").mapInArrow(tc.releasing(_linked_rows(size, percent)), "a long, b long"))
 
 
 def _across(hits: DataFrame, known: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
@@ -257,8 +257,9 @@ def minhash_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 85, r
     answered each; a row without an id is linked through equal sets only, and is its own,
     null, component if no row with an id has its set.  Other columns are ignored; an empty table
     gives an empty table."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sketches = save(base.mapInArrow(_sketch_rows(shingle_words), "doc_id long, n long, f1 long, f2 long, regs binary"))
+    sketches = save(base.mapInArrow(tc.releasing(_sketch_rows(shingle_words)), "doc_id long, n long, f1 long, f2 long, regs binary"))
     filled = sketches.where("n > 0 and doc_id is not null")
     ids = filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
     nodes = save(ids.join(filled.withColumnRenamed("doc_id", "node"), ["f1", "f2", "node"]).dropDuplicates(["f1", "f2", "node"]))

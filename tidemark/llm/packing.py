@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import small_batches
 
 #: Examples that wait at most, per task, and how many of them are left waiting between batches.
 POOL, REST = 1024, 512
 #: Distinct words whose ids a task keeps at most.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 800_000
 END_ID = 2
 
 
@@ -244,5 +245,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tokens: int =
     id is in exactly one piece.  A sequence holds at most `tokens` tokens, `segments` pieces and `loss`
     loss-bearing tokens (all of a document but its first); pieces lie from offset 0 without gaps.
     Repeated rows are each packed; other columns are ignored; an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text")).mapInArrow(_pack_rows(tokenizer or default_tokenizer(), tokens, segments, loss), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", F.col("text")).mapInArrow(tc.releasing(_pack_rows(tokenizer or default_tokenizer(), tokens, segments, loss)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

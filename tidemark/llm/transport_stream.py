@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import small_batches
 
 BLOCK = 192
 PACKET, SYNC = 188, 0x47
@@ -209,6 +210,7 @@ def store_transport_streams(docs: DataFrame, columns: tuple[str, ...] = ("doc_id
     feature, pts and random_access (time stamps in 90 kHz ticks) and, if with_stream, media.  A
     null text is empty, and stored as one block of spaces.  Equal texts give equal
     values; rows are handled one by one, so repeats and clashing other columns don't matter."""
+    small_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>", *(["media binary"] if with_stream else [])])
     return docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text")).mapInArrow(_rows(with_stream, columns), schema)
