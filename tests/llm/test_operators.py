@@ -339,6 +339,38 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def planted_pairs(n_hot, n_rest, n_pairs, cosine, seed=5):
+    """A crowded topic whose vectors are hardly linked among themselves (cosines about 0.85), others all around, and
+    pairs inside the topic at about the cosine: vectors, and the ids of the pairs."""
+    rng = np.random.RandomState(seed)
+    center = rng.standard_normal(64)
+    center /= np.sqrt(center @ center)
+
+    def turned(x, cos):
+        z = rng.standard_normal(x.shape)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        z /= np.sqrt((z * z).sum(axis=1, keepdims=True))
+        return cos * x + np.sqrt(1 - cos * cos) * z
+
+    hot = turned(np.repeat(center[None, :], n_hot, axis=0), np.sqrt(0.85))
+    rest = rng.standard_normal((n_rest, 64))
+    rest /= np.sqrt((rest * rest).sum(axis=1, keepdims=True))
+    source = hot if n_hot else rest
+    twins = turned(source[:n_pairs], cosine)
+    return np.concatenate((hot, rest, twins)), [(i, n_hot + n_rest + i) for i in range(n_pairs)]
+
+
+def test_embeddings_in_a_crowded_topic(spark):
+    x, pairs = planted_pairs(4000, 2000, 200, 0.953)
+    got = {r.vec_id: r.component_id for r in embedding_dedup.embedding_groups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 198
+
+
+def test_embedding_passes_grow():
+    needed = [embedding_dedup._passes_needed(embedding_dedup._bucket_bits(n, 256), 0.95) for n in (100, 50_000, 2_000_000, 80_000_000)]
+    assert needed == sorted(needed) and needed[-1] > needed[1] > needed[0]
+
+
 @pytest.mark.parametrize("n", [0, 1, 150, 192, 6144, 6145, 60_000, 200_001])
 def test_transport_stream(n):
     rng = random.Random(n)

@@ -6,6 +6,12 @@ also across the edges of partitions.  Verified pairs are united at once inside a
 partition, so that a pass sends on one link per vector, not one per pair; the links of all passes are
 united into components.
 
+The first bits of a key, about one more for each doubling of the table, name a bucket.  There are as many passes as a
+pair at the threshold needs to share a bucket in one of them but for a chance of MISS.  The window covers
+ordinary buckets; in those with more vectors than it reaches, members of different components are
+compared in blocks, so that the chance doesn't depend on how dense the data are.  What that costs
+grows with the square of a crowded bucket's vectors outside its largest component.
+
 Links are then counted without listing a component's pairs.  If two members' angles to the
 component's mean vector add up to less than the threshold's angle, they are linked, so a member whose
 angle and the largest one in the component do so is linked with all members.  Only members for
@@ -16,6 +22,8 @@ Equal vectors are one vector with a number of copies throughout.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +34,10 @@ from .common import components, save
 
 HASHES = 64
 BLOCK = 512
+#: Vectors in a block of a crowded bucket.
+CROWD = 4096
+#: Chance that a pair at the threshold shares no bucket.
+MISS = 0.005
 #: Margin for rounding when angles are added (radians).
 SLACK = 1e-7
 
@@ -60,9 +72,20 @@ def _planes(dim: int, turn: int, seed: int) -> np.ndarray:
     return np.random.RandomState([seed, turn, dim]).standard_normal((dim, HASHES))
 
 
-def _key_rows(passes: int, seed: int):
+def _bucket_bits(n: int, window: int) -> int:
+    """Bits of a bucket's name: buckets of n evenly spread vectors then hold about half a window."""
+    return min(HASHES - 1, max(0, round(math.log2(max(n, 1) / max(window / 2, 1)))))
+
+
+def _passes_needed(bits: int, threshold: float) -> int:
+    """Passes after which a pair at the threshold has shared a bucket but for a chance of MISS."""
+    same = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return 1 if same >= 1 else math.ceil(math.log(MISS) / math.log1p(-same))
+
+
+def _key_rows(passes: int, seed: int, with_vector: bool = True):
     """(node, v) -> a row for each pass with the 64 bits as a sortable long."""
-    schema = pa.schema([("turn", pa.int32()), ("dim", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("v", pa.binary())])
+    schema = pa.schema([("turn", pa.int32()), ("dim", pa.int32()), ("key", pa.int64()), ("node", pa.int64())] + [("v", pa.binary())] * with_vector)
 
     def rows(batches):
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -73,12 +96,12 @@ def _key_rows(passes: int, seed: int):
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = _matrix([raw[i] for i in at])
-                nodes, v = batch.column("node").take(pa.array(at)), batch.column("v").take(pa.array(at))
+                rest = [batch.column(c).take(pa.array(at)) for c in ("node", "v")[: 1 + with_vector]]
                 for turn in range(passes):
                     if (dim, turn) not in planes:
                         planes[dim, turn] = _planes(int(dim), turn, seed)
                     key = ((x @ planes[dim, turn] > 0) * weights).sum(axis=1, dtype=np.uint64) ^ np.uint64(1 << 63)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), turn, dtype=np.int32)), pa.array(np.full(len(at), dim, dtype=np.int32)), pa.array(key.view(np.int64)), nodes, v], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), turn, dtype=np.int32)), pa.array(np.full(len(at), dim, dtype=np.int32)), pa.array(key.view(np.int64)), *rest], schema=schema)
 
     return rows
 
@@ -180,6 +203,51 @@ def _edge_links(window: int, threshold: float):
     return links
 
 
+def _crowd_links(threshold: float):
+    """One pair of blocks of a crowded bucket: links across components, as pairs of components."""
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(pdf.component.to_numpy(), return_inverse=True)
+        side = pdf.side.to_numpy()
+        x = _matrix([bytes(v) for v in pdf.v])
+        one, two, right = at[side == 0], at[side == 1], x[side == 1]
+        left, label = x[side == 0], np.arange(len(names))
+        for i in range(0, len(left), BLOCK):
+            a, b = np.nonzero(left[i : i + BLOCK] @ right.T >= threshold)
+            a, b = one[i + a], two[b]
+            across = a != b
+            label = _unite(len(names), np.concatenate((np.arange(len(names)), a[across])), np.concatenate((label, b[across])))
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pd.DataFrame({"a": names[moved], "b": names[label[moved]]})
+
+    return links
+
+
+def _crowded(nodes: DataFrame, known: DataFrame, passes: int, seed: int, bits: int, window: int, threshold: float) -> DataFrame | None:
+    """Links between components that share a bucket of more vectors than a window reaches, as pairs of components; None
+    if no such bucket holds several."""
+    bucket = F.shiftright("key", HASHES - bits) if bits else F.lit(0).cast("long")
+    keys = nodes.select("node", "v").mapInArrow(_key_rows(passes, seed, with_vector=False), "turn int, dim int, key long, node long").select("turn", "dim", bucket.alias("bucket"), "node")
+    names = ["turn", "dim", "bucket"]
+    large = save(keys.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > window + 1).select(*names))
+    if large.isEmpty():
+        return None
+    members = save(keys.join(large, names).join(known, "node", "left").select(*names, "node", F.coalesce("component", "node").alias("component")))
+    shares = members.groupBy(*names, "component").agg(F.count("*").alias("m"))
+    sizes = save(shares.groupBy(*names).agg(F.max_by("component", "m").alias("main"), F.max("m").alias("main_size"), F.sum("m").alias("all_size"), F.count("*").alias("kinds")).where("kinds > 1"))
+    if sizes.isEmpty():
+        return None
+    # blocks 1..few are outside the largest component, and are compared with each other and with its blocks
+    blocks = lambda c: F.ceil(c / CROWD).cast("int")
+    few, many = blocks(F.col("all_size") - F.col("main_size")), blocks(F.col("main_size"))
+    own = F.when(F.col("component") == F.col("main"), F.lit(1) + few + F.pmod(F.xxhash64("node"), many)).otherwise(F.lit(1) + F.pmod(F.xxhash64("node"), few)).cast("int")
+    placed = members.join(sizes, names).select(*names, "node", "component", own.alias("own"), few.alias("few"), (few + many).alias("blocks"))
+    left = placed.where("own <= few").select(*names, "node", "component", F.col("own").alias("i"), F.explode(F.sequence("own", "blocks")).alias("j"), F.lit(0).alias("side"))
+    right = placed.select(*names, "node", "component", F.explode(F.sequence(F.lit(1), F.least("own", "few"))).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    dealt = left.unionByName(right).join(nodes.select("node", "v"), "node")
+    return save(dealt.groupBy(*names, "i", "j").applyInPandas(_crowd_links(threshold), "a long, b long").distinct())
+
+
 def _angle_rows(batches):
     """(node, component, copies, v, mean) -> the angle between v and mean."""
     for batch in batches:
@@ -203,11 +271,12 @@ def _block_counts(threshold: float):
     return counts
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = 0.95, passes: int = 12, window: int = 32, seed: int = 7, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = 0.95, passes: int = 12, window: int = 256, seed: int = 7, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """Link vectors with cosine >= threshold: vec_id, n_links, component_id (least vec_id reachable), kept.
 
-    All pairs that a pass brings within `window` places are found, and then all links among the members of a component are
-    counted; no pair below the threshold is linked.  Vectors that are null, zero, empty, or hold null
+    All pairs that a pass brings within `window` places or into one bucket are found, and then all links among the members
+    of a component are counted; no pair below the threshold is linked.  There are at least `passes` passes, and more as the
+    table grows: a pair at the threshold is missed with a chance of at most MISS, however dense the data.  Vectors that are null, zero, empty, or hold null
     or non-finite components are linked with nothing, and so are vectors of different lengths.
     Equal vectors (up to a positive factor, as far as doubles show it) are linked.  Repeated rows are copies of
     one vector.  A row without an id counts as a link of others, and its component is the least id among
@@ -217,12 +286,20 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, passes: int =
     ids = clean.where("v is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = save(ids.join(clean.select("k1", "k2", F.col("vec_id").alias("node"), "v"), ["k1", "k2", "node"]).dropDuplicates(["k1", "k2", "node"]))
     spark = vectors.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = nodes.count()
+    bits = _bucket_bits(n, window)
+    passes = max(passes, _passes_needed(bits, threshold))
+    # windows reach across one edge of partitions only
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n * passes // (4 * window)))
     dealt = nodes.select("node", "v").mapInArrow(_key_rows(passes, seed), "turn int, dim int, key long, node long, v binary").repartitionByRange(parts, "turn", "dim", "key", "node").sortWithinPartitions("turn", "dim", "key", "node")
     seen = save(dealt.mapInArrow(_window_rows(window, threshold), "a long, b long, turn int, dim int, edge int, place int, v binary"))
     inside = seen.where("edge is null").select("a", "b")
     across = seen.where("edge is not null").groupBy("turn", "dim", "edge").applyInPandas(_edge_links(window, threshold), "a long, b long")
-    known = components(inside.unionByName(across))
+    near = save(inside.unionByName(across))
+    known = components(near)
+    more = _crowded(nodes, known, passes, seed, bits, window, threshold)
+    if more is not None and not more.isEmpty():
+        known = components(near.unionByName(more))
     members = save(nodes.join(known, "node").select("node", "component", "copies", "v"))
     doubles = members.mapInArrow(_doubles, "component long, x array<double>")
     mean = doubles.select("component", F.posexplode("x")).groupBy("component", "pos").agg(F.avg("col").alias("m")).groupBy("component").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).getField("m").alias("mean"))
