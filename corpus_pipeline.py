@@ -27,9 +27,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: the one with the least id (of rows that repeat
-    an id, the one whose text comes first).  Rows without an id are kept."""
-    kept = minhash_groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    """Keep one document of each group of near-duplicates (0.8 of their runs of five words in common): the one with the
+    least id (of rows that repeat an id, the one whose text comes first).  Rows without an id are kept."""
+    kept = minhash_groups(docs, shingle_words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     rest = F.struct("text", "lang", "source", "n_chars")
     one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("row")).select("doc_id", "row.*")
     return one.unionByName(docs.where("doc_id is null").select(*COLUMNS))

@@ -65,3 +65,23 @@ def test_odd_rows(spark, tiny):
     mixed = corpus_pipeline.mixing(spark, cut, tiny)
     assert set(mixed.columns) == set(corpus_pipeline.COLUMNS)
     assert corpus_pipeline.packing(spark, mixed, tiny).count() >= 0
+
+
+def test_near_dedup_threshold(spark, tiny):
+    """Texts that have 0.82 of their shingles of five words in common are near copies; at 0.78 they aren't."""
+    base = [f"w{i}" for i in range(495)]
+
+    def changed(n):
+        """The last n words replaced: as many of the 491 shingles are, on either side."""
+        return base[: len(base) - n] + [f"x{n}y{i}" for i in range(n)]
+
+    def jaccard(a, b):
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    near, far = changed(48), changed(61)
+    assert 0.815 < jaccard(base, near) < 0.825 and 0.775 < jaccard(base, far) < 0.785
+    other = ["v" + w for w in base]
+    rows = [(1, base), (2, near), (11, other), (12, ["v" + w for w in far])]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, tiny).collect()) == [1, 11, 12]
