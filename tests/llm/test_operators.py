@@ -395,19 +395,23 @@ def test_transport_stream(n):
 
 def test_media_columns(docs, nothing):
     rows = docs.collect()
+    stored = transport_stream.to_transport_streams(docs).collect()
+    media = {hashlib.sha256(bytes(r.media)).hexdigest(): bytes(r.media) for r in stored}
     out = transport_stream.store_transport_streams(docs).collect()
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) == len(stored)
     values = {}
     for r in out:
-        assert hashlib.sha256(r.media).hexdigest() == r.media_sha256
-        assert len(r.media) == r.media_bytes
+        assert len(media[r.media_sha256]) == r.media_bytes
+        assert len(r.pts) == -(-r.payload_bytes // 6144) and r.random_access == r.pts[::8]
+        assert f"units={len(r.pts)};pts={r.pts[0]}-{r.pts[-1]};access={len(r.random_access)}@" in r.feature
         values.setdefault(r.payload_sha256, set()).add((r.media_sha256, r.feature, r.tail_crc32))
     assert all(len(v) == 1 for v in values.values())
     want = collections.Counter()
     for r in rows:
         raw = (r.text or "").encode()
         p = raw + b" " * (-len(raw) % 192 if raw else 192)
-        want[(r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-192:]))] += 1
+        assert len(p) % 192 == 0 and len(p) > 0
+        want[(r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[len(p) - 16 :]))] += 1
     assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out) == want
     assert transport_stream.store_transport_streams(nothing).count() == 0
 

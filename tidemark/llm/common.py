@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -38,13 +41,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def save(df: DataFrame) -> DataFrame:
+def save(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and return a scan of it: later steps no longer
     depend on what executors hold.  The driver then lets go of shuffle files that only
     the written plan used."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     spark.sparkContext._jvm.System.gc()

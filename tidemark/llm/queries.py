@@ -46,8 +46,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = store_transport_streams(table(spark, sf_dir, "documents"), with_stream=False)
-    return out.drop("pts", "random_access")
+    return store_transport_streams(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,13 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import small_batches
+from .common import save, small_batches
 
 BLOCK = 192
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, ES_PID, PROGRAM, STREAM_TYPE = 0, 0x100, 0x101, 1, 0x06
 UNIT, TICKS, RAP_EVERY = 32 * BLOCK, 3000, 8
 PES_HEADER = 14
+#: Bytes of the payload's end that tail_crc32 covers.
+TAIL = 16
+#: Bytes of streams that are passed on at once.
+FLUSH = 1 << 23
 
 
 def _crc_table() -> list[int]:
@@ -137,8 +141,8 @@ def read_stream(stream: bytes) -> dict:
         rows = m[pid == p]
         if not len(rows):
             raise ValueError("a program table is missing")
-        for row in np.unique(rows[:, 4:], axis=0):
-            raw = row.tobytes()[1 + row[0] :]
+        for row in {r.tobytes() for r in rows[:, 4:]}:
+            raw = row[1 + row[0] :]
             body = raw[: 3 + (int.from_bytes(raw[1:3], "big") & 0xFFF)]
             if body[0] != table_id or section_crc(body):
                 raise ValueError("a program table is damaged")
@@ -177,40 +181,66 @@ def feature(read: dict) -> str:
     return f"program={read['program']};pmt={read['pmt_pid']};stream={read['stream_type']}@{read['es_pid']};packets={read['packets']};breaks={read['continuity_errors']};units={len(stamps)};pts={stamps[0]}-{stamps[-1]};access={len(raps)}@{raps[0]}-{raps[-1]}"
 
 
-def _rows(with_stream: bool, columns: tuple[str, ...]):
+def _write_rows(columns: tuple[str, ...]):
     def rows(batches):
         for batch in batches:
             data, bounds = tc.column_bytes(batch.column("text"))
-            out, streams, size = [], [], 0
-            sent = 0
+            sent, sizes, streams, held = 0, [], [], 0
             for i in range(len(bounds) - 1):
                 text = data[bounds[i] : bounds[i + 1]].tobytes()
-                media = write_stream(pad(text))
+                sizes.append(len(text))
+                streams.append(write_stream(pad(text)))
+                held += len(streams[-1])
+                if held > FLUSH or i == len(bounds) - 2:
+                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(sent, len(sizes)) for c in columns] + [pa.array(sizes, pa.int64()), pa.array(streams, pa.binary())], names=[*columns, "n_bytes", "media"])
+                    sent, sizes, streams, held = i + 1, [], [], 0
+
+    return rows
+
+
+_FOUND = (("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int64())))
+
+
+def _read_rows(columns: tuple[str, ...]):
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for media in batch.column("media"):
+                media = media.as_buffer().to_pybytes()
                 read = read_stream(media)
                 back = read["payload"]
-                out.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(read), read["pts"], read["random_access"]))
-                streams.append(media if with_stream else None)
-                size += len(media) * with_stream
-                if size > 1 << 23 or i == len(bounds) - 2:
-                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                    arrays = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access"]
-                    if with_stream:
-                        arrays, names = [*arrays, pa.array(streams, pa.binary())], [*names, "media"]
-                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(sent, len(out)) for c in columns] + arrays, names=[*columns, *names])
-                    sent, out, streams, size = i + 1, [], [], 0
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature(read), read["pts"], read["random_access"]))
+            found = list(zip(*out, strict=True)) or [()] * len(_FOUND)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(v, kind) for v, (_, kind) in zip(found, _FOUND, strict=True)], names=[*columns, *(n for n, _ in _FOUND)])
 
     return rows
 
 
-def store_transport_streams(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), with_stream: bool = True) -> DataFrame:
-    """Store each text as a transport stream and describe what reading it back finds.
+def _kinds(df: DataFrame, columns: tuple[str, ...]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
-    Returns `columns`, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, pts and random_access (time stamps in 90 kHz ticks) and, if with_stream, media.  A
-    null text is empty, and stored as one block of spaces.  Equal texts give equal
-    values; rows are handled one by one, so repeats and clashing other columns don't matter."""
+
+def to_transport_streams(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each text as a transport stream: `columns`, n_bytes (of the text) and media.
+
+    A null text is empty, and stored as one block of spaces; an empty table gives no rows.  A text of any
+    length becomes one stream, and a batch is passed on when its streams fill 8 MB, so memory holds one text and its
+    stream beyond that.  Equal texts give equal streams; rows are handled one by one, so repeats
+    are each stored, and other columns, whatever their names, are ignored."""
     small_batches(docs.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>", *(["media binary"] if with_stream else [])])
-    return docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text")).mapInArrow(_rows(with_stream, columns), schema)
+    return docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text")).mapInArrow(tc.releasing(_write_rows(columns)), f"{_kinds(docs, columns)}, n_bytes long, media binary")
+
+
+def describe_transport_streams(stored: DataFrame, columns: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
+    """What reading each stream of the column media finds: `columns`, payload_bytes, payload_sha256, tail_crc32 (of the
+    payload's last 16 bytes), media_bytes, media_sha256, feature, pts and random_access (time stamps in ticks of 90 kHz).
+
+    A damaged or null stream raises ValueError; an empty table gives no rows; repeated rows are each described."""
+    return stored.select(*(F.col(f"`{c}`") for c in columns), F.coalesce("media", F.lit(b"")).alias("media")).mapInArrow(tc.releasing(_read_rows(columns)), f"{_kinds(stored, columns)}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>")
+
+
+def store_transport_streams(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Store each text as a transport stream in a table in the shared folder, and describe what reading the stored bytes finds.
+
+    Columns and odd rows: see to_transport_streams and describe_transport_streams."""
+    return describe_transport_streams(save(to_transport_streams(docs, columns), compression="zstd"), (*columns, "n_bytes"))
