@@ -6,8 +6,10 @@ import itertools
 import random
 import re
 import zlib
+from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import embedding_dedup, language_id, minhash, mixing, packing, suffix_dedup, suffix_tree_lm, toxicity, transport_stream, url_filter
@@ -67,30 +69,80 @@ def test_components(spark):
     assert got == {x: top(x) for x in linked}
 
 
-@pytest.mark.parametrize("length", [400, 40])
-def test_suffix_dedup(docs, length):
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    seen = collections.Counter(t[i : i + length] for _, t in rows for i in range(len(t) - length + 1))
-    want = collections.Counter()
-    for i, t in rows:
+def covered(texts, length):
+    """Which bytes of each text are covered by a string of so many bytes that starts twice or more."""
+    seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
         gone = np.zeros(len(t), dtype=bool)
         for k in range(len(t) - length + 1):
             if seen[t[k : k + length]] > 1:
                 gone[k : k + length] = True
-        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        want[(i, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
-    got = collections.Counter(tuple(r) for r in suffix_dedup.suffix_dedup(docs, length).collect())
-    assert got == want
+        out.append(gone)
+    return out
+
+
+def spans_of(t, gone, words=0):
+    edge = np.diff(np.concatenate(([0], gone.astype(int), [0])))
+    at = [m.span() for m in WORD.finditer(t)]
+    return [(i, j) for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True) if sum(i <= a and b <= j for a, b in at) >= words]
+
+
+@pytest.mark.parametrize("length, words, passage", [(400, 0, 0), (40, 0, 0), (400, 0, 240), (60, 12, 30)])
+def test_suffix_dedup(spark, docs, length, words, passage):
+    # all partitions of the sorted tables stay apart
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(length == 400).lower())
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    want = collections.Counter()
+    shorter = covered([t for _, t in rows], passage) if passage else [None] * len(rows)
+    for (i, t), gone, near in zip(rows, covered([t for _, t in rows], length), shorter, strict=True):
+        spans = spans_of(t, gone, words)
+        kept = b"".join(t[a:b] for a, b in zip([0, *(j for _, j in spans)], [*(i for i, _ in spans), len(t)], strict=True))
+        row = [i, len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()]
+        if passage:
+            found = spans_of(t, near, 8)
+            row += [len(found), sum(b - a for a, b in found)]
+        want[tuple(row)] += 1
+    out = suffix_dedup.suffix_dedup(docs, length, words=words, passage=passage, passage_words=8).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert collections.Counter(tuple(r) for r in out) == want
     assert sum(k[2] for k in want) > 0
 
 
+def test_sorted_table_intervals():
+    """Intervals of a sorted table, by depth, across partitions, against comparing all prefixes."""
+    rng = random.Random(6)
+    strings = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(3, 12))) for _ in range(300)})
+    cuts = [0, 1, 40, 41, 150, len(strings)]
+    rows, summaries = [], []
+    for part, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        batches = [pa.RecordBatch.from_pydict({"s": strings[k : min(k + 16, j)], "key": list(range(k, min(k + 16, j))), "n": [1] * (min(k + 16, j) - k), "shallow": [2] * (min(k + 16, j) - k)}) for k in range(i, j, 16)]
+        context = mock.Mock(**{"get.return_value.partitionId.return_value": part})
+        with mock.patch("pyspark.TaskContext", context):
+            for b in suffix_dedup._order_rows(12)(batches):
+                for r in b.to_pylist():
+                    (rows if r["key"] is not None else summaries).append(r)
+    carry = suffix_dedup.carried(summaries, 12)
+    for depth in range(2, 13):
+        places = {}
+        for r in rows:
+            s = strings[r["key"]]
+            if len(s) >= depth:
+                place = int(suffix_dedup._places(np.array(r["depths"]), np.array(r["places"]), r["part"], carry, np.array([depth]))[0])
+                places.setdefault(s[:depth], set()).add(place)
+                if r["alone"] <= depth:
+                    assert sum(x.startswith(s[:depth]) for x in strings) == 1
+        assert all(len(v) == 1 for v in places.values())
+        assert len({min(v) for v in places.values()}) == len(places)
+
+
 def test_suffix_dedup_text(docs, nothing):
     out = suffix_dedup.suffix_dedup(docs, 40, columns=("doc_id", "lang"), with_text=True)
     for r in out.collect():
         if r.text.isascii():
             assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
+    assert suffix_dedup.suffix_dedup(nothing, passage=240).columns[-2:] == ["n_passages", "passage_bytes"]
 
 
 def shingles(text, size=5):

@@ -1,9 +1,16 @@
 """The pipeline's stages against brute force on a small table."""
 
+import collections
+import itertools
 import os
 
 import corpus_pipeline
+import duckdb
+from test_operators import covered, shingles, spans_of
 from tidemark.llm.common import table
+from tidemark.llm.mixing import mix_sql
+from tidemark.llm.packing import default_tokenizer
+from tokenizers import Tokenizer
 
 
 def test_stages_in_order(spark, tiny):
@@ -18,19 +25,48 @@ def test_stages_in_order(spark, tiny):
     assert one.columns == docs.columns
     assert len(set(kept.values())) == len(kept)
     assert all(before[i] == t for i, t in kept.items())
+    sets = {i: shingles(t) for i, t in ((r.doc_id, r.text) for r in clean.collect())}
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in itertools.combinations(sets, 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            x, y = top(i), top(j)
+            up[max(x, y)] = min(x, y)
+    assert set(kept) == {i for i in up if top(i) == i}
     cut = corpus_pipeline.suffix_array_dedup(spark, one, tiny)
     assert set(cut.columns) == set(docs.columns)
     texts = {r.doc_id: r.text for r in cut.collect()}
-    seen = {}
-    for i, t in kept.items():
-        raw = t.encode()
-        for k in range(len(raw) - 399):
-            seen.setdefault(raw[k : k + 400], []).append(i)
-    untouched = set(kept) - {i for v in seen.values() if len(v) > 1 for i in v}
-    assert all(texts[i] == kept[i] for i in untouched)
+    order = sorted(kept)
+    raw = [kept[i].encode() for i in order]
+    want = {}
+    for i, t, gone in zip(order, raw, covered(raw, 240), strict=True):
+        spans = spans_of(t, gone, 51)
+        rest = b"".join(t[a:b] for a, b in zip([0, *(j for _, j in spans)], [*(i for i, _ in spans), len(t)], strict=True)).decode("utf-8", "ignore")
+        if rest or not spans:
+            want[i] = rest
+    assert texts == want
+    assert want != {i: kept[i] for i in want}
+    cut = spark.createDataFrame(cut.toPandas(), docs.schema)
     mixed = corpus_pipeline.mixing(spark, cut, tiny)
     assert mixed.columns == docs.columns
-    assert {r.doc_id for r in mixed.select("doc_id").collect()} <= set(texts)
+    con = duckdb.connect()
+    con.register("documents", cut.toPandas())
+    epochs = {i: n for i, n in con.sql(f"select doc_id, epochs from ({mix_sql()}) where epochs > 0").fetchall()}
+    rows = mixed.collect()
+    assert collections.Counter(r.doc_id for r in rows) == epochs
+    tok = Tokenizer.from_file(default_tokenizer())
+    tokens = {r.doc_id: len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in rows}
+    packed = corpus_pipeline.packing(spark, mixed, tiny).collect()
+    got = collections.Counter()
+    for r in packed:
+        got[r.doc_id] += r.length
+        assert r.doc_tokens == tokens[r.doc_id]
+    assert got == {i: tokens[i] * n for i, n in epochs.items()}
 
 
 def test_run(spark, tiny):
@@ -60,8 +96,8 @@ def test_odd_rows(spark, tiny):
     one = corpus_pipeline.near_dedup(spark, kept, tiny)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in one.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (True, 0), (True, 0)]
     cut = corpus_pipeline.suffix_array_dedup(spark, one, tiny)
-    # texts 4 and 5 repeat themselves throughout and go; empty ones stay
-    assert sorted((r.doc_id or 0, r.text) for r in cut.collect()) == [(0, ""), (0, "x y"), (1, "a b c"), (2, ""), (3, "")]
+    # text 4 repeats itself throughout and goes, text 5 does too but is one word; empty ones stay
+    assert sorted((r.doc_id or 0, r.text) for r in cut.collect()) == [(0, ""), (0, "x y"), (1, "a b c"), (2, ""), (3, ""), (5, "é" * 30_000)]
     mixed = corpus_pipeline.mixing(spark, cut, tiny)
     assert set(mixed.columns) == set(corpus_pipeline.COLUMNS)
     assert corpus_pipeline.packing(spark, mixed, tiny).count() >= 0

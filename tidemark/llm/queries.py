@@ -18,7 +18,7 @@ from .url_filter import filter_sql, filter_urls
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=400, passage=240, passage_words=51)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
