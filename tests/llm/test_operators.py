@@ -564,3 +564,48 @@ def test_toxicity(spark, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.score_toxicity(docs, none).collect()} == {0}
     assert toxicity.score_toxicity(nothing, none).count() == 0
+
+
+@pytest.mark.parametrize("kappa", [0.2, 1.0])
+def test_toxicity_models(kappa):
+    """Log ratios of texts under the two models, by dictionaries."""
+    rng = random.Random(8)
+    vocab = [a + b for a in "abcd" for b in ("u", "é", "OX")]
+    groups = [[" ".join(rng.choice(vocab[k:]) for _ in range(rng.randint(1, 25))).encode() for _ in range(40 - 10 * k)] for k in range(2)]
+    model = toxicity.KneserNey(toxicity.Counts(groups), kappa)
+    words_of = lambda t: [w.decode() for w in re.findall(rb"[a-z\x80-\xff]+", lower(t.decode()))]
+    words, pairs, totals = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    for k, g in enumerate(groups):
+        for t in set(g):
+            w = words_of(t)
+            words[k].update(set(w))
+            pairs[k].update(set(zip([None, *w], w, strict=False)))
+    totals = [sum(c.values()) for c in words]
+    n, kinds = sum(totals), set(words[0]) | set(words[1])
+    rate = totals[0] / n
+    all_pairs = set(pairs[0]) | set(pairs[1])
+
+    def discounted(a, b, share):
+        expected = (a + b) * share
+        gap = a - expected
+        left = max(abs(gap) - max(kappa * ((a + b) * share * (1 - share)) ** 0.5, 0.75), 0) * (1 if gap > 0 else -1)
+        return expected + left, a + b - expected - left
+
+    own = {w: discounted(words[0][w], words[1][w], rate) for w in kinds}
+    back = min(0.5, 0.75 * len(kinds) / n)
+    shared = {w: (sum(e == w for _, e in all_pairs) + 1) / (len(all_pairs) + len(kinds) + 1) for w in kinds}
+    p = {w: ((1 - back) * own[w][0] / rate / n + back * shared[w], (1 - back) * own[w][1] / (1 - rate) / n + back * shared[w]) for w in kinds}
+
+    def ratio(v, w):
+        word = np.log(p[w][0] / p[w][1]) if w in p else 0.0
+        if (v, w) not in all_pairs:
+            return word
+        a, b = own[v] if v in own else (rate, 1 - rate)
+        share = a * p[w][0] / (a * p[w][0] + b * p[w][1])
+        x, y = discounted(pairs[0][v, w], pairs[1][v, w], share)
+        return np.log(x / y) - np.log(a / b)
+
+    tests = [" ".join(rng.choice([*vocab, "zz"]) for _ in range(rng.randint(0, 30))).encode() for _ in range(60)]
+    want = [sum(ratio(v, w) for v, w in zip([None, *x], x, strict=False)) / max(1, len(x)) for x in map(words_of, tests)]
+    assert np.allclose(toxicity._ratios(model, tests), want, atol=1e-9)
+    assert len(model.pairs) > 0 and np.abs(want).max() > 0.1

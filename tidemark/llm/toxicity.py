@@ -1,10 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word models, one of toxic and one of ordinary documents, share their backoff counts: what a class
-lacks is filled from the pooled counts of both (in how many contexts a word continues), so a
-rare expression weighs only what its own counts say.  A text's score compares its length-normalised
-log-likelihoods under the two.  A text is judged by its words (runs of letters, lower-cased) and
-its pairs of neighbouring words.
+Two models of neighbouring words, one of toxic and one of ordinary documents, share their backoff counts.  A class's
+count of a word or pair is what the counts of both classes together lead to expect of it, plus what it
+has beyond that, less a discount of `kappa` standard deviations of that expectation (absolute discounting of the difference,
+with a continuous result: a rare expression keeps the part of its own counts that is more than chance).  For a pair, the expectation is
+the backing-off model's own, from the class counts of its first word and the class probability of its second.  Below words, both
+classes back off to one distribution, in how many distinct pairs a word ends.  Every token of a text is scored under both models, and
+its length-normalised log-likelihoods are compared.  Words are runs of letters, lower-cased.  The discount is the one with the least
+log loss on documents that the models haven't seen, weighted as the classes are among all labels.
 
 The models are fitted on a bounded sample of labelled documents: in each slot of a hash, the
 document with the least one.  Scoring is a single pass over all whole texts.
@@ -24,8 +27,8 @@ from .common import crc_mod, small_batches
 
 U = tc.U
 DISCOUNT = 0.75
-#: Standard deviations by which a class's count must differ from the pooled one to count by itself.
-SURE = 6.5
+#: Discounts to choose from, in standard deviations of a class's expected count.
+KAPPAS = (1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0)
 #: Toxic documents that are used for fitting, at most; half as many again of the ordinary ones.
 SLOTS = 2048
 
@@ -60,30 +63,10 @@ def _once(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return order[np.concatenate(([True], ~same))] if len(x) else order
 
 
-def _own(lists: list[np.ndarray], sure: float) -> tuple[np.ndarray, list[tuple[np.ndarray, float]]]:
-    """Values whose counts in the two classes differ surely, with each class's discounted share of them
-    and the share that its discounts leave to backing off."""
-    u, c = np.unique(np.concatenate(lists), return_counts=True)
-    mine = np.bincount(np.searchsorted(u, lists[0]), minlength=len(u)) if len(u) else np.zeros(0)
-    rate = len(lists[0]) / max(1, len(lists[0]) + len(lists[1]))
-    gap = np.abs(mine - c * rate) / np.sqrt(np.maximum(c * rate * (1 - rate), 1e-9))
-    keep = (gap > sure) & (c >= 4)
-    out = []
-    for n, total in ((mine, len(lists[0])), (c - mine, len(lists[1]))):
-        out.append((np.maximum(n[keep] - DISCOUNT, 0) / max(1, total), DISCOUNT * (n > 0).sum() / max(1, total)))
-    return u[keep], out
+class Counts:
+    """In how many distinct texts of each class (toxic first) each word and pair is, and what pairs begin and end with."""
 
-
-class KneserNey:
-    """Interpolated Kneser-Ney models of two classes, as sorted arrays of hashes with log ratios.
-
-    Each distinct text counts a word or pair once.  P_k(w) = max(c_k(w) - D, 0) / N_k + b_k P(w), where P(w),
-    shared, is the share of all distinct pairs (of both classes) that end in w.  A class has counts of
-    its own only for what it says more or less often than the pooled counts lead to expect, by `sure` standard deviations; whatever
-    is too rare for that is left to the shared counts alone, and weighs nothing.  Pairs
-    add P_k(w | v) = max(c_k(v w) - D, 0) / c_k(v) + b_k(v) P_k(w) under the same rule."""
-
-    def __init__(self, texts: list[list[bytes]], sure: float = SURE):
+    def __init__(self, texts: list[list[bytes]]):
         words, pairs, ends, starts = [], [], [], []
         for group in texts:
             group = list(dict.fromkeys(group))
@@ -104,34 +87,49 @@ class KneserNey:
             pairs.append(cat(p_once))
             ends.append(cat(p_end))
             starts.append(cat(p_start))
-        all_pairs, at = np.unique(np.concatenate(pairs), return_index=True)
-        end_of, start_of = np.concatenate(ends)[at], np.concatenate(starts)[at]
-        self.words, p_k = _own(words, sure)
-        known = np.unique(np.concatenate(words))
-        cont = np.bincount(np.searchsorted(known, end_of), minlength=len(known)) if len(end_of) else np.zeros(0)
-        shared = (cont[np.searchsorted(known, self.words)] + 1.0) / (len(end_of) + len(known) + 1.0) if len(self.words) else np.zeros(0)
-        # ratio of the classes for each word that has counts of its own
-        logs = [np.log(own + back * shared) for own, back in p_k]
-        self.ratio = logs[0] - logs[1]
-        # pairs: what a class adds for them, as a share of the pair's first word
-        self.pairs, q_k = _own(pairs, sure)
-        if len(self.pairs):
-            place = np.searchsorted(all_pairs, self.pairs)
-            firsts_, lasts = start_of[place], end_of[place]
-            at, hit = _find(self.words, lasts)
-            fallback = (cont[np.searchsorted(known, lasts)] + 1.0) / (len(end_of) + len(known) + 1.0)
-            sums = []
-            for k in range(2):
-                u, n = np.unique(starts[k], return_counts=True)
-                c_at, c_hit = _find(u, firsts_)
-                c = np.where(c_hit, n[c_at] if len(n) else 0, 0)
-                own, _ = q_k[k]
-                gained = own * len(pairs[k]) / np.maximum(c, 1)
-                word = np.where(hit, np.exp(logs[k][at]) if len(self.words) else 0.0, fallback)
-                sums.append(np.log(gained + (1.0 - np.minimum(gained, 0.99)) * word))
-            self.pair_ratio = sums[0] - sums[1]
-        else:
-            self.pair_ratio = np.zeros(0)
+        self.totals = np.array([len(w) for w in words], dtype=np.float64)
+        self.words, at = np.unique(np.concatenate(words), return_inverse=True)
+        self.of_words = self._by_class(at, words, len(self.words))
+        self.pairs, first, at = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+        self.of_pairs = self._by_class(at, pairs, len(self.pairs))
+        self.end = np.searchsorted(self.words, np.concatenate(ends)[first])
+        self.start, self.started = _find(self.words, np.concatenate(starts)[first])
+
+    @staticmethod
+    def _by_class(at: np.ndarray, lists: list[np.ndarray], n: int) -> np.ndarray:
+        cut = len(lists[0])
+        return np.stack([np.bincount(at[:cut], minlength=n), np.bincount(at[cut:], minlength=n)]).astype(np.float64)
+
+
+def _discounted(own: np.ndarray, share: np.ndarray, kappa: float) -> tuple[np.ndarray, np.ndarray]:
+    """Class counts (2 rows) as expected (share of the first class of both together) plus the discounted difference, and where one is left."""
+    both = own.sum(axis=0)
+    expected = both * share
+    gap = own[0] - expected
+    left = np.maximum(np.abs(gap) - np.maximum(kappa * np.sqrt(both * share * (1 - share)), DISCOUNT), 0) * np.sign(gap)
+    return np.stack([expected + left, both - expected - left]), left != 0
+
+
+class KneserNey:
+    """Interpolated models of two classes, as sorted arrays of the hashes of words and pairs whose log ratio isn't that of what they
+    back off to (0 for words: both classes share it; their second word's for pairs)."""
+
+    def __init__(self, counts: Counts, kappa: float):
+        total = max(1.0, counts.totals.sum())
+        rate = float(np.clip(counts.totals[0] / total, 1e-9, 1 - 1e-9))
+        of_words, moved = _discounted(counts.of_words, np.full(len(counts.words), rate), kappa)
+        # both classes leave the same share to how many distinct pairs a word ends
+        back = min(0.5, DISCOUNT * len(counts.words) / total)
+        ends = np.bincount(counts.end, minlength=len(counts.words)) if len(counts.end) else np.zeros(len(counts.words))
+        shared = (ends + 1.0) / (len(counts.end) + len(counts.words) + 1.0)
+        p = (1 - back) * of_words / np.array([[rate], [1 - rate]]) / total + back * shared
+        self.words, self.ratio = counts.words[moved], np.log(p[0, moved] / p[1, moved])
+        # a pair is expected as often as its first word is of a class and its second one follows there
+        before = np.where(counts.started, of_words[:, counts.start], np.array([[rate], [1 - rate]])) if len(counts.pairs) else np.zeros((2, 0))
+        weight = before * p[:, counts.end]
+        of_pairs, moved = _discounted(counts.of_pairs, weight[0] / np.maximum(weight.sum(axis=0), 1e-300), kappa)
+        self.pairs = counts.pairs[moved]
+        self.pair_ratio = np.log(of_pairs[0, moved] / of_pairs[1, moved]) - np.log(before[0, moved] / before[1, moved])
         self.slope, self.bias = 1.0, 0.0
 
     def log_ratios(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,30 +179,41 @@ def sample_by_slot(rows: DataFrame, label: str, slots: Column, key: Column) -> D
     return h.groupBy(label, "_slot").agg(F.min(F.struct("_h", "doc_id")).alias("m")).select(label, F.col("m.doc_id").alias("doc_id"))
 
 
+def _ratios(model: KneserNey, texts: list[bytes]) -> np.ndarray:
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    out = [model.log_ratios(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])[0] for a, b in tc.chunks(bounds)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def fit_texts(groups: list[list[bytes]], sizes: tuple[int, int]) -> KneserNey | None:
     """A calibrated model of toxic and ordinary texts; None if there are none of one.  sizes: how many labels each class has."""
     if not all(groups):
         return None
-    # calibrated on the third of the sample that a model of the other two thirds hasn't seen, then fitted on all
+    # judged and calibrated on each third of the sample by models of the other two, then fitted on all
     parts = [[g[i::3] for i in range(3)] for g in groups]
-    x, y = [], []
+    x: dict[float, list[np.ndarray]] = {k: [] for k in KAPPAS}
+    y: list[np.ndarray] = []
     for i in range(3):
         rest = [[t for j in range(3) if j != i for t in g[j]] for g in parts]
         if not all(rest):
             continue
-        model = KneserNey(rest)
-        for label, g in zip((1, 0), parts, strict=True):
-            bounds = np.concatenate(([0], np.cumsum([len(t) for t in g[i]]))).astype(np.int64)
-            data = np.frombuffer(b"".join(g[i]), dtype=np.uint8)
-            for a, b in tc.chunks(bounds):
-                x.append(model.log_ratios(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])[0])
-                y.append(np.full(b - a, float(label)))
-    model = KneserNey(groups)
-    if x:
-        # weighted as the classes are among all labels
-        y_all = np.concatenate(y)
-        weight = np.where(y_all == 1, sizes[0] / len(groups[0]), sizes[1] / len(groups[1]))
-        model.slope, model.bias = _logistic(np.concatenate(x), y_all, weight / weight.mean())
+        counts = Counts(rest)
+        for kappa in KAPPAS:
+            model = KneserNey(counts, kappa)
+            x[kappa] += [_ratios(model, g[i]) for g in parts]
+        y += [np.full(len(g[i]), float(label)) for label, g in zip((1, 0), parts, strict=True)]
+    if not y:
+        return KneserNey(Counts(groups), KAPPAS[-1])
+    # weighted as the classes are among all labels
+    truth = np.concatenate(y)
+    weight = np.where(truth == 1, sizes[0] / len(groups[0]), sizes[1] / len(groups[1]))
+    weight /= weight.mean()
+    lines = {k: _logistic(np.concatenate(v), truth, weight) for k, v in x.items()}
+    loss = lambda k: float((weight * np.logaddexp(0, np.where(truth == 1, -1, 1) * (lines[k][0] * np.concatenate(x[k]) + lines[k][1]))).mean())
+    best = min(KAPPAS, key=loss)
+    model = KneserNey(Counts(groups), best)
+    model.slope, model.bias = lines[best]
     return model
 
 
@@ -227,14 +236,14 @@ def _fit_rows(sizes: tuple[int, int]):
 def fit(docs: DataFrame, labels: DataFrame, train: Column, slots: int = SLOTS) -> KneserNey | None:
     """Fit on at most `slots` toxic and half as many again ordinary documents, in one task; None if a class has none.
 
-    Only the model comes to the driver: the few expressions that have counts of their own."""
+    Only the model comes to the driver: the expressions of the sample that have counts of their own."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(train)
     present = docs.select("doc_id").where(train)
     of_class = F.when(F.col("toxic") == 1, slots).otherwise(slots + slots // 2).cast("long")
     chosen = sample_by_slot(known.join(present, "doc_id", "left_semi"), "toxic", of_class, F.col("doc_id"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    # at most 2.5 * slots ids and texts
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h"))
+    # at most 2.5 * slots ids, and one text for each, however many rows an id has
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("doc_id"))
     out = rows.repartition(1).sortWithinPartitions("h", "toxic").select("toxic", "text").mapInArrow(tc.releasing(_fit_rows((sizes.get(1, 0), sizes.get(0, 0)))), "model binary").collect()
     if not out or out[0].model is None:
         return None
