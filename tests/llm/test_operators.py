@@ -349,14 +349,77 @@ def test_lm_scores(docs, nothing):
     assert suffix_tree_lm.score_texts(nothing).count() == 0
 
 
+def test_lm_scores_by_brute_force(spark):
+    """The whole model by dictionaries of tuples: symbols, states of up to three symbols, and scores."""
+    rng = random.Random(12)
+    phrases = [" ".join(rng.choice("abc") for _ in range(5)) for _ in range(7)]
+    texts = [" ".join(rng.choice(phrases) if rng.random() < 0.6 else "".join(rng.choice("abxyz") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 12))) for _ in range(250)]
+    least, depth = 4, 3
+    got = suffix_tree_lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), depth=depth, least=least).collect()
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    tokens = lambda t: [*WORD.findall(t.encode()), None]
+    c = collections.Counter(w for t in train for w in tokens(t))
+    kind = lambda w: (w[-1] * 31 + (w[-2] if len(w) > 1 else 0) * 7) % 64
+    symbol = lambda w: ("end",) if w is None else (w,) if c[w] >= least else ("class", kind(w))
+    n, once = collections.Counter(), collections.Counter()
+    for w, k in c.items():
+        if w is not None and k < least:
+            n[kind(w)] += k
+            once[kind(w)] += k == 1
+    unseen = lambda k: (once[k] + 0.5) / (n[k] + 1)
+    root = collections.Counter(symbol(w) for t in train for w in tokens(t))
+    size = 64 + 1 + sum(k >= least for w, k in c.items() if w is not None)
+    states, grams, allowed = [], None, None
+    for order in range(1, depth + 1):
+        now = collections.defaultdict(collections.Counter)
+        for t in train:
+            s = ["start", *map(symbol, tokens(t))]
+            for i in range(order, len(s)):
+                ctx = tuple(s[i - order : i])
+                if allowed is None or ctx in allowed:
+                    now[ctx][s[i]] += 1
+        found = {}
+        for ctx, nxt in now.items():
+            short = root if order == 1 else grams[ctx[1:]]
+            total, under = sum(nxt.values()), sum(short.values())
+            if sum(k * (np.log(k / total) - np.log(short[x] / under)) for x, k in nxt.items()) > 2.0 * len(nxt):
+                found[ctx] = {x: max(k - 0.75, 0) / total for x, k in nxt.items()}
+        states.append(found)
+        if not found:
+            break
+        grams, allowed = now, {(*ctx, x) for ctx, nxt in now.items() for x, k in nxt.items() if k >= least}
+    assert len(states) == depth and all(states)
+    for r in got:
+        s, score = ["start", *map(symbol, tokens(texts[r.doc_id]))], 0.0
+        for i, w in enumerate(tokens(texts[r.doc_id]), 1):
+            p = (root[s[i]] + 1) / (sum(root.values()) + size)
+            for order, found in enumerate(states, 1):
+                state = found.get(tuple(s[i - order : i])) if i >= order else None
+                if state is not None:
+                    p = state.get(s[i], 0.0) + (1 - sum(state.values())) * p
+            score += np.log10(p)
+            if s[i][0] == "class":
+                k = kind(w)
+                score += np.log10(c[w] * (1 - unseen(k)) / max(n[k], 1)) if w in c else np.log10(unseen(k))
+        assert abs(score - r.score) < 1e-6 * max(1, abs(score)), r
+
+
 def test_lm_tree_sums_to_one():
-    tree = suffix_tree_lm.Tree(np.array([0.0, 0.2, 0.3, 0.5]))
-    tree.add(np.array([1, 1, 2]), np.array([2, 3, 1]), np.array([5.0, 3.0, 9.0]))
-    tree.add(np.array([1 << 20 | 2] * 2), np.array([1, 3]), np.array([4.0, 2.0]))
-    s = np.arange(4)
-    for one, two in ((1, 0), (2, 1), (3, 3)):
-        p = tree.probability(s, [np.full(4, one), np.full(4, two << 20 | one)])
-        assert abs(p.sum() - 1) < 1e-12
+    rng = np.random.RandomState(3)
+    train = rng.randint(0, 3, 400) + 66
+    firsts = np.array([0, len(train)])
+    states = []
+    for order in (1, 2):
+        *_, (context, has) = suffix_tree_lm._contexts(train, firsts, order)
+        keys = collections.Counter(zip(context[has].tolist(), train[has].tolist(), strict=True))
+        n = collections.Counter(context[has].tolist())
+        ctx, nxt = np.array(list(keys)).T
+        states.append(suffix_tree_lm.state_arrays(ctx, nxt, np.array(list(keys.values()), dtype=float), np.array([n[x] for x in ctx.tolist()], dtype=float)))
+    root = np.zeros(70)
+    root[66:70] = 0.25
+    for before in itertools.product((66, 67, 68, 69), repeat=2):
+        p = sum(suffix_tree_lm.probability(root, states, np.array([*before, x]), np.array([0, 3]))[-1] for x in (66, 67, 68, 69))
+        assert abs(p - 1) < 1e-12
 
 
 def test_urls(spark):
