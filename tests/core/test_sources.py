@@ -1,5 +1,6 @@
 """Paging, the lake, run folders, ingestion and streams."""
 
+import math
 import os
 import sys
 
@@ -70,15 +71,21 @@ def test_lake(spark, tmp_path):
     assert lake.months(spark, root) == set()
     lake.write_months(df, root)
     assert lake.months(spark, root) == {(2020, 1), (2020, 2)}
-    assert os.path.isdir(f"{root}/year=2020/month=01")
+    assert os.path.isdir(f"{root}/symbol=X/year=2020/month=01")
     assert lake.read_lake(spark, root).count() == 3
     assert lake.last_timestamp(lake.read_month(spark, root, 2020, 1)) == jan + 60_000
-    assert not lake.is_complete(spark, root, 2020, 1, 60_000)
+    assert not lake.is_complete(spark, root, "X", 2020, 1, 60_000)
     lake.write_months(spark.createDataFrame([("X", feb - 60_000, 1.0, 2.0, 0.5, 1.5, 10.0, 0)], exchange.SCHEMA), root)
-    assert lake.is_complete(spark, root, 2020, 1, 60_000)
+    assert lake.is_complete(spark, root, "X", 2020, 1, 60_000)
     assert lake.read_lake(spark, root).count() == 2
-    assert not lake.is_complete(spark, root, 2020, 3, 60_000)
-    os.makedirs(f"{root}/year=x/month=1")
+    assert not lake.is_complete(spark, root, "X", 2020, 3, 60_000)
+    # another symbol's months are its own
+    assert not lake.is_complete(spark, root, "A/B", 2020, 1, 60_000)
+    lake.write_months(spark.createDataFrame([("A/B", feb - 60_000, 1.0, 2.0, 0.5, 1.5, 10.0, 0)], exchange.SCHEMA), root)
+    assert lake.is_complete(spark, root, "A/B", 2020, 1, 60_000) and lake.is_complete(spark, root, "X", 2020, 1, 60_000)
+    assert sorted((r.symbol, r.timestamp) for r in lake.read_lake(spark, root).collect()) == [("A/B", feb - 60_000), ("X", feb - 60_000), ("X", feb)]
+    assert lake.months(spark, root, "A/B") == {(2020, 1)}
+    os.makedirs(f"{root}/symbol=X/year=x/month=1")
     assert lake.last_timestamp(df.limit(0)) is None
 
 
@@ -95,6 +102,8 @@ def test_ingestion(spark, tmp_path, monkeypatch):
     root, now = str(tmp_path / "lake"), fx.T0 + 2 * 86_400_000
     n = ingest.backfill(spark, "c:f", "X", root, date(2020, 9, 1), date(2020, 9, 30), now, "15m")
     assert n == lake.read_lake(spark, root).count() > 100
+    assert ingest.backfill(spark, "c:f", "Y", root, date(2020, 9, 1), date(2020, 9, 30), now, "15m") == n
+    assert {r.symbol: r["count"] for r in lake.read_lake(spark, root).groupBy("symbol").count().collect()} == {"X": n, "Y": n}
     table = str(tmp_path / "table")
     first = ingest.incremental(spark, "c:f", "X", table, now)
     assert first == 191  # the grid begins within the first 15 minutes
@@ -127,7 +136,13 @@ def test_run_folder(spark, tmp_path, tiny):
     r = runs.load_run(spark, str(tmp_path), os.path.basename(path))
     assert {x.model for x in r.predictions.select("model").distinct().collect()} == {"prior", "momentum_sign", "logreg"}
     assert r.bars.count() > 0
-    assert r.contributions is None
+    p = {(x.symbol, x.timestamp): x.p_up for x in r.predictions.where("model = 'logreg'").collect()}
+    found = r.contributions.collect()
+    assert len(found) == len(p) > 0
+    for x in found:
+        odds = sum(v for k, v in x.asDict().items() if k not in ("model", "fold", "symbol", "timestamp"))
+        assert abs(1 / (1 + math.exp(-odds)) - p[x.symbol, x.timestamp]) < 1e-9
+    assert r.trades.count() > 0 and r.fold_backtest.count() == 3 * 2 * 2
     assert set(r.importances) == {"logreg"}
     assert r.metrics["results"]["pooled_backtest"]
 
@@ -148,3 +163,15 @@ def test_against_sql(spark, tiny, name):
 
 def test_every_query_names_its_columns_like_its_sql():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_trailing_policy(spark, tiny):
+    with pytest.raises(ValueError, match="sides"):
+        dataset.Settings(policy="trailing")
+    s = dataset.Settings(n_splits=2, test_size=20, min_train=20, policy="trailing", target=dataset.TargetSpec(kind="meta_triple_barrier"))
+    df = dataset.samples(candles.keep_first(ticks(spark, tiny)).where("symbol = 'click'"), s).cache()
+    pred, _ = benchmark.forecasts(df, s, ("prior", "momentum_sign"))
+    out = benchmark.report(pred.withColumn("p_up", pred.p_up + 0.4), s, df)
+    assert {"exit_reason", "n_updates"} <= set(out["trades"].columns)
+    assert out["trades"].count() > 0
+    assert out["trade_backtest"].count() == 2

@@ -1,7 +1,8 @@
 """Exponentially weighted means and deviations without a sequential pass over a series.
 
 A decayed sum D(t) = sum of q**(t - j) * x(j) is split into blocks short enough that q**-length is
-harmless: inside a block it is a scaled running sum, and only the blocks' last values are folded one by one.
+harmless: inside a block it is a scaled running sum.  What a block is handed is a decayed sum over the blocks before it, of their last
+values: the same problem with far fewer rows, until a block forgets all but its nearest neighbours.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import KEY, ORDER
 
+#: Decay from one block to the next below which only the nearest blocks count.
+NEAR = 1e-4
+
 
 def decayed_sums(df: DataFrame, columns: dict[str, Column], q: float, keys: tuple[str, ...] = (KEY,), order: str = ORDER) -> DataFrame:
     """Adds, for each name, the decayed sum of its column (never null) in time order, and n, the row's number."""
@@ -21,19 +25,24 @@ def decayed_sums(df: DataFrame, columns: dict[str, Column], q: float, keys: tupl
     rows = df.withColumn("n", F.row_number().over(by)).withColumn("_b", F.expr(f"(n - 1) div {block}")).withColumn("_p", (F.col("n") - 1) % block)
     run = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_s_{k}": F.sum(c * F.pow(F.lit(q), -F.col("_p"))).over(run) * F.pow(F.lit(q), F.col("_p")) for k, c in columns.items()})
-    ends = rows.groupBy(*keys, "_b").agg(F.max("_p").alias("_l"), *(F.max_by(f"_s_{k}", "_p").alias(f"_e_{k}") for k in columns))
-    lists = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_l", *(f"_e_{k}" for k in columns)))).alias("_ends"))
-
-    def step(acc: Column, e: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.concat(acc, F.array(F.struct((e["_b"] + 1).alias("_b"), *((last[f"_c_{k}"] * F.pow(F.lit(q), e["_l"] + 1) + e[f"_e_{k}"]).alias(f"_c_{k}") for k in columns))))
-
-    start = F.array(F.struct(F.lit(0).cast("long").alias("_b"), *(F.lit(0.0).alias(f"_c_{k}") for k in columns)))
-    carried = lists.select(*keys, F.inline(F.aggregate("_ends", start, step)))
+    ends = rows.groupBy(*keys, F.col("_b").alias("_o")).agg(*(F.max_by(f"_s_{k}", "_p").alias(f"_e_{k}") for k in columns))
+    # only the last block can be short, and it hands on nothing
+    carried = _carried(ends, list(columns), q**block, keys).withColumnRenamed("_o", "_b")
     out = rows.join(carried, [*keys, "_b"])
     return out.withColumns({k: F.col(f"_s_{k}") + F.col(f"_c_{k}") * F.pow(F.lit(q), F.col("_p") + 1) for k in columns}).drop("_b", "_p", *(f"_s_{k}" for k in columns), *(f"_c_{k}" for k in columns))
 
 
+def _carried(ends: DataFrame, names: list[str], q: float, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, _o, _c_<name>): decayed sums of _e_<name> over the blocks before each block."""
+    by = Window.partitionBy(*keys).orderBy("_o")
+    if q < NEAR:
+        # q ** 4 is beyond the precision of a double
+        back = lambda k: sum((F.coalesce(F.lag(f"_e_{k}", i + 1).over(by), F.lit(0.0)) * q**i for i in range(1, 4)), F.coalesce(F.lag(f"_e_{k}", 1).over(by), F.lit(0.0)))
+        return ends.select(*keys, "_o", *(back(k).alias(f"_c_{k}") for k in names))
+    sums = decayed_sums(ends, {f"_d_{k}": F.col(f"_e_{k}") for k in names}, q, keys, "_o")
+    return sums.select(*keys, "_o", *(F.coalesce(F.lag(f"_d_{k}", 1).over(by), F.lit(0.0)).alias(f"_c_{k}") for k in names))
+
+
 def ewm_means(df: DataFrame, columns: dict[str, str], alpha: float, min_periods: int) -> DataFrame:
     """y(1) = x(1), y(t) = (1 - alpha) y(t - 1) + alpha x(t) over the rows where the columns aren't
     null (all or none are); null until there are min_periods."""

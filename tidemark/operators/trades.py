@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import ORDER
+from ..functions.frames import KEY, ORDER
 from .backtest import KEYS, equity_curve
 
 YEAR_MS = 365 * 86_400_000
-TRADE = "struct<entry_ts: bigint, exit_ts: bigint, direction: bigint, holding_bars: bigint, p_up: double, ret_gross: double, ret_net: double>"
 
 
 def fixed_trades(pred: DataFrame, bar_ms: int, fee: float, band: float = 0.0, sided: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Trades that are held as long as their label says; signals while one is open are ignored.
 
-    Signals are gathered per key in time order and folded; only rows that signal take part."""
+    Only rows that signal take part.  They are dealt by key and sorted, and each task streams through its keys with
+    the end of the open trade as its only state, so no series is ever held as a whole."""
     p = F.col("p_up")
     direction = F.when((p > 0.5 + band) & (F.col("side") != 0), F.col("side")) if sided else F.when(p > 0.5 + band, 1).when(p < 0.5 - band, -1)
     gross = F.col("ret_trade") if sided else F.col("_d") * F.col("ret_trade")
     signals = pred.withColumn("_d", direction.cast("bigint")).where("_d is not null")
-    item = F.struct(
-        F.col(ORDER).alias("entry_ts"), (F.col(ORDER) + F.col("holding_bars") * bar_ms).alias("exit_ts"), F.col("_d").alias("direction"), F.col("holding_bars").cast("bigint").alias("holding_bars"), p.alias("p_up"), gross.alias("ret_gross"), (gross - 2 * fee).alias("ret_net")
+    rows = signals.select(
+        *keys, F.col(ORDER).cast("bigint").alias("entry_ts"), (F.col(ORDER) + F.col("holding_bars") * bar_ms).cast("bigint").alias("exit_ts"), F.col("_d").alias("direction"), F.col("holding_bars").cast("bigint").alias("holding_bars"), p.cast("double").alias("p_up"), gross.cast("double").alias("ret_gross"), (gross - 2 * fee).cast("double").alias("ret_net")
     )
-    lists = signals.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_signals"))
-    start = F.struct(F.lit(None).cast("bigint").alias("busy"), F.array().cast(f"array<{TRADE}>").alias("taken"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "entry_ts", "exit_ts", "direction", "holding_bars", "p_up", "ret_gross")
 
-    def step(acc: Column, s: Column) -> Column:
-        free = acc["busy"].isNull() | (s["entry_ts"] >= acc["busy"])
-        return F.struct(F.when(free, s["exit_ts"]).otherwise(acc["busy"]).alias("busy"), F.when(free, F.concat(acc["taken"], F.array(s.cast(TRADE)))).otherwise(acc["taken"]).alias("taken"))
+    def free(batches):
+        series, busy = None, None
+        for batch in batches:
+            taken = []
+            for *key, entry, leave in zip(*(batch.column(k).to_pylist() for k in (*keys, "entry_ts", "exit_ts")), strict=True):
+                if key != series:
+                    series, busy = key, None
+                taken.append(busy is None or entry >= busy)
+                if taken[-1]:
+                    busy = leave
+            yield batch.filter(pa.array(taken, pa.bool_()))
 
-    return lists.select(*keys, F.inline(F.aggregate("_signals", start, step, lambda acc: acc["taken"])))
+    return dealt.mapInArrow(free, rows.schema)
 
 
 TRAILING = "entry_ts long, exit_ts long, direction long, holding_bars long, p_up double, entry_price double, exit_price double, exit_reason string, n_updates long, ret_gross double, ret_net double"
@@ -104,6 +112,11 @@ def trailing_trades(pred: DataFrame, bar_ms: int, fee: float, up: float, down: f
     return pred.select(*keys, *columns).groupBy(*keys).applyInPandas(run, schema)
 
 
+def with_bars(pred: DataFrame, bars: DataFrame) -> DataFrame:
+    """Stored forecasts with high and low of their bars; null where a bar is missing."""
+    return pred.join(bars.select(KEY, ORDER, "high", "low"), [KEY, ORDER], "left")
+
+
 def trade_equity(trades: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds trade_no (1-based), equity and drawdown trade by trade."""
     numbered = trades.withColumn("trade_no", F.row_number().over(Window.partitionBy(*keys).orderBy("entry_ts")).cast("long"))

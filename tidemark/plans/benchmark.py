@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +36,18 @@ def forecasts(df: DataFrame, s: Settings, names: tuple[str, ...] = KNOWN) -> tup
     return out, fitted
 
 
-def report(pred: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """Scores by fold and over folds, calibration, bar backtests (with holding), trades and their metrics."""
+def report(pred: DataFrame, s: Settings, samples_: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Scores by fold and over folds, calibration, bar backtests (with holding), trades and their metrics.
+
+    samples_: where highs and lows come from, for the trailing policy."""
     bar = timeframe_ms(s.timeframe)
     sided = s.target.kind == "meta_triple_barrier"
     bars = pred.withColumns({"p_up": backtest.sided_probability(F.col("p_up"), F.col("side")), "ret_next": F.col("side") * F.col("ret_next")}) if sided else pred
     folds = scoring.fold_metrics(pred)
-    taken = trades.fixed_trades(pred.withColumn("ret_trade", F.col("ret_next")), bar, s.fee, s.band, sided)
+    if s.policy == "trailing":
+        taken = trades.trailing_trades(trades.with_bars(pred, samples_), bar, s.fee, s.target.pt_mult, s.target.sl_mult, s.target.max_holding, s.band)
+    else:
+        taken = trades.fixed_trades(pred.withColumn("ret_trade", F.col("ret_next")), bar, s.fee, s.band, sided)
     return {
         "folds": folds,
         "aggregate": scoring.over_folds(folds),
@@ -53,18 +59,33 @@ def report(pred: DataFrame, s: Settings) -> dict[str, DataFrame]:
     }
 
 
+def contributions(df: DataFrame, fitted: dict, x: list[str], s: Settings) -> DataFrame:
+    """(model, fold, symbol, timestamp, features, bias) of each test row, by the model of its fold; they add up to the log-odds of p_up."""
+    tests = splits.assign(df, s.n_splits, s.test_size, s.purge).where("role = 'test'")
+    parts = []
+    for name, pairs in fitted.items():
+        for fold, (model, scale) in enumerate(pairs):
+            rows = tests.where(F.col("fold") == fold)
+            part = models.linear_contributions(rows, model, scale, x) if name == "logreg" else models.tree_contributions(rows, model, x)
+            parts.append(part.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "*"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def run(spark: SparkSession, candle_rows: DataFrame, s: Settings, root: str, names: tuple[str, ...] = KNOWN) -> str:
     """All of it, into a run folder; returns its path."""
     df = samples(candle_rows, s).cache()
     pred, fitted = forecasts(df, s, names)
     pred = pred.cache()
-    out = report(pred, s)
+    out = report(pred, s, df)
     x = features.feature_names(**s.features.args()) + (["side"] if s.target.kind == "meta_triple_barrier" else [])
     rows = lambda d: [json.loads(r) for r in d.select(F.to_json(F.struct("*")).alias("j")).toPandas().j]
     # tables of a few rows per symbol and model
     metrics = {"config": json.loads(json.dumps(s, default=lambda o: o.__dict__)), "results": {k: rows(out[k]) for k in ("aggregate", "pooled_backtest", "trade_backtest")}}
     imp = {n: {r.feature: r.importance for r in models.importances(spark, f[-1][0], x).collect()} for n, f in fitted.items()}
     more = {"bars": df.select("symbol", "timestamp", "open", "high", "low", "close", "volume"), "features": df.select("symbol", "timestamp", *x), "folds": out["folds"], "importances": imp, "calibration": {"rows": rows(out["calibration"])}}
+    more |= {"trades": out["trades"], "fold_backtest": out["fold_backtest"]}
+    if fitted:
+        more["contributions"] = contributions(df, fitted, x, s)
     path = runs.write_run(spark, root, pred, metrics, **more)
     for n, pairs in fitted.items():
         for k, (model, _) in enumerate(pairs):

@@ -68,9 +68,14 @@ class Settings:
     fee: float = 0.001
     band: float = 0.0
     seed: int = 42
+    policy: str = "fixed"
 
     def __post_init__(self):
         timeframe_ms(self.timeframe)
+        if self.policy not in ("fixed", "trailing"):
+            raise ValueError(f"unknown policy: {self.policy}")
+        if self.policy == "trailing" and self.target.kind != "meta_triple_barrier":
+            raise ValueError("trailing trades need the sides of meta_triple_barrier")
         if self.purge < max(1, self.target.horizon):
             raise ValueError("labels look further ahead than the purge")
         if not 0 <= self.band < 0.5:

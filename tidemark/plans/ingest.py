@@ -27,11 +27,11 @@ def _report_gaps(df: DataFrame, timeframe: str) -> None:
 
 
 def backfill(spark: SparkSession, client: str, symbol: str, root: str, first: date, last: date, now_ms: int, timeframe: str = "1m", **options) -> int:
-    """Fetch the months that the lake doesn't hold completely, check them, and write them; rows written.
+    """Fetch the months that the lake doesn't hold completely for the symbol, check them, and write them; rows written.
 
     Months next to each other are one read, split into tasks by time."""
     step = timeframe_ms(timeframe)
-    todo = [m for m in month_range(first, last) if not lake.is_complete(spark, root, *m, step)]
+    todo = [m for m in month_range(first, last) if not lake.is_complete(spark, root, symbol, *m, step)]
     written = 0
     while todo:
         run = [todo.pop(0)]

@@ -364,12 +364,13 @@ def trade_equity(spark: SparkSession, d: str) -> DataFrame:
     f"""{o.PRED}, {o.TRADES}, sp as (select symbol, model, (max(timestamp) - min(timestamp) + {HOUR}) as el from pred group by symbol, model),
 m as (select symbol, model, count(*) as n, avg(case when ret_net > 0 then 1.0 else 0.0 end) as win_rate, avg(ret_net) as avg_ret_net, stddev_samp(ret_net) as sd, arg_max(equity, trade_no) as eq, min(drawdown) as mdd, sum(holding_bars) as hb, avg(holding_bars) as ah from tq group by symbol, model)
 select symbol, model, cast(coalesce(n, 0) as double) as n_trades, round(win_rate, 6) as win_rate, round(avg_ret_net, 6) as avg_ret_net, round(avg_ret_net / nullif(sd, 0) * sqrt(n / (el / 31536000000.0)), 6) as sharpe_net, round(coalesce(mdd, 0), 6) as max_drawdown_net,
-  round(coalesce(hb * {HOUR} / el, 0), 6) as exposure, round(ah, 6) as avg_holding_bars, round(coalesce(n, 0) / (el / 31536000000.0), 6) as trades_per_year, eq > 0 as solvent from sp left join m using (symbol, model)"""
+  round(coalesce(hb * {HOUR} / el, 0), 6) as exposure, round(ah, 6) as avg_holding_bars, round(coalesce(n, 0) / (el / 31536000000.0), 6) as trades_per_year, round(case when coalesce(n, 0) = 0 then 0 when eq > 0 then exp(least(ln(eq) / (el / 31536000000.0), ln(1001))) - 1 end, 5) + 0.0 as ann_return_net from sp left join m using (symbol, model)"""
 )
 def trade_metrics(spark: SparkSession, d: str) -> DataFrame:
     t, pred = _trades(spark, d)
-    out = trades.trade_metrics(t, pred, HOUR).withColumn("solvent", F.when(F.col("n_trades") > 0, F.col("ann_return_net").isNotNull()))
-    return pick(out, "symbol, model, n_trades, solvent", "win_rate, avg_ret_net, sharpe_net, max_drawdown_net, exposure, avg_holding_bars, trades_per_year", 6)
+    # a few days' gain, taken to a year, can be a huge number: it is compared up to 1000
+    out = trades.trade_metrics(t, pred, HOUR).withColumn("ann_return_net", F.round(F.when(F.col("ann_return_net") > 1000, 1000.0).otherwise(F.col("ann_return_net")), 5) + F.lit(0.0))
+    return pick(out, "symbol, model, n_trades, ann_return_net", "win_rate, avg_ret_net, sharpe_net, max_drawdown_net, exposure, avg_holding_bars, trades_per_year", 6)
 
 
 @query(f"{o.PRED}, {o.TRADES} select symbol, model, entry_ts, round(close, 6) as entry_price, round(close * (1 + direction * ret_gross), 6) as exit_price from tr")

@@ -6,10 +6,12 @@ from since_ms on, and raises NetworkError for what is worth another try.  The da
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import importlib
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +40,22 @@ def with_retries(call: Callable[[], list], attempts: int = 6, base_s: float = 1.
     raise ValueError("no attempts")
 
 
+def spans(since_ms: int, until_ms: int, step_ms: int, limit: int) -> Generator[int, list, None]:
+    """Times from which to ask for pages; sent each page, it goes on behind its last row, or by a page's span if that is no progress."""
+    while since_ms < until_ms:
+        page = yield since_ms
+        behind = [int(row[0]) + step_ms for row in page[-1:]]
+        since_ms = max([since_ms, *behind]) if max(behind, default=since_ms) > since_ms else since_ms + limit * step_ms
+
+
 def pages(client, symbol: str, timeframe: str, since_ms: int, until_ms: int, limit: int = 1000, **retry) -> Iterator[list]:
-    """Rows with since_ms <= time < until_ms, page by page.  An empty page, or one that leads nowhere, skips a page's span."""
-    tf = timeframe_ms(timeframe)
-    at = since_ms
-    while at < until_ms:
-        page = with_retries(lambda since=at: client.fetch(symbol, timeframe, since, limit), **retry)
-        yield from (row for row in page if at <= row[0] < until_ms)
-        ahead = int(page[-1][0]) + tf if page else at
-        at = ahead if ahead > at else at + limit * tf
+    """Rows with since_ms <= time < until_ms, each page's from the time it was asked for."""
+    plan, page = spans(since_ms, until_ms, timeframe_ms(timeframe), limit), None
+    with contextlib.suppress(StopIteration):
+        while True:
+            asked = plan.send(page)
+            page = with_retries(functools.partial(client.fetch, symbol, timeframe, asked, limit), **retry)
+            yield from filter(lambda row, asked=asked: asked <= row[0] < until_ms, page)
 
 
 class Stretch(InputPartition):

@@ -1,4 +1,4 @@
-"""The lake of candles: Parquet by year and month, overwritten a month at a time."""
+"""The lake of candles: Parquet by symbol, year and month; a symbol's months are overwritten as a whole."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.timeframes import month_bounds_ms
 from ..operators.candles import keep_first
+from .exchange import SCHEMA
+
+PARTS = ["symbol", "year", "month"]
 
 
 def _parts(df: DataFrame) -> DataFrame:
@@ -15,19 +18,25 @@ def _parts(df: DataFrame) -> DataFrame:
 
 
 def write_months(df: DataFrame, root: str, compression: str = "zstd") -> None:
-    """Write candles into year=YYYY/month=MM; the months they cover are replaced when all is written, others stay."""
-    out = _parts(df).repartition("year", "month").sortWithinPartitions("timestamp")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy("year", "month").parquet(root)
+    """Write candles into symbol=S/year=YYYY/month=MM; the months of the symbols they cover are replaced when all is written,
+    others, and other symbols' months, stay.  A task holds one symbol's month."""
+    out = _parts(df).repartition(*PARTS).sortWithinPartitions(*PARTS, "timestamp")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy(*PARTS).parquet(root)
+
+
+def _scan(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(f"{SCHEMA}, year int, month int").parquet(root)
 
 
 def read_lake(spark: SparkSession, root: str) -> DataFrame:
-    """All candles, one per open time: the first to arrive."""
-    return keep_first(spark.read.parquet(root).drop("year", "month"))
+    """All candles, one per symbol and open time: the first to arrive."""
+    return keep_first(_scan(spark, root).drop("year", "month"))
 
 
-def read_month(spark: SparkSession, root: str, year: int, month: int) -> DataFrame:
-    """One month; others are never listed into the scan."""
-    return spark.read.parquet(root).where((F.col("year") == year) & (F.col("month") == month)).drop("year", "month")
+def read_month(spark: SparkSession, root: str, year: int, month: int, symbol: str | None = None) -> DataFrame:
+    """One month, of one symbol or of all; other folders are never listed into the scan."""
+    rows = _scan(spark, root).where((F.col("year") == year) & (F.col("month") == month))
+    return (rows if symbol is None else rows.where(F.col("symbol") == symbol)).drop("year", "month")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -36,13 +45,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def months(spark: SparkSession, root: str) -> set[tuple[int, int]]:
-    """(year, month) of the folders that hold a file; names that aren't numbers are skipped; no lake, none."""
+def months(spark: SparkSession, root: str, symbol: str | None = None) -> set[tuple[int, int]]:
+    """(year, month) of the folders, of one symbol or of any, that hold a file; names that aren't numbers are skipped; no lake, none."""
     fs, path = _fs(spark, root)
     if not fs.exists(path):
         return set()
+    name = "*" if symbol is None else spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(symbol)
     out = set()
-    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "year=*/month=*/*.parquet")) or []:
+    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, f"symbol={name}/year=*/month=*/*.parquet")) or []:
         month_dir = status.getPath().getParent()
         year, month = month_dir.getParent().getName()[5:], month_dir.getName()[6:]
         if year.isdigit() and month.isdigit():
@@ -55,9 +65,9 @@ def last_timestamp(df: DataFrame) -> int | None:
     return df.agg(F.max("timestamp").alias("t")).first().t
 
 
-def is_complete(spark: SparkSession, root: str, year: int, month: int, step_ms: int) -> bool:
-    """Whether the month's folder holds its last candle."""
-    if (year, month) not in months(spark, root):
+def is_complete(spark: SparkSession, root: str, symbol: str, year: int, month: int, step_ms: int) -> bool:
+    """Whether the symbol's folder of the month holds the month's last candle."""
+    if (year, month) not in months(spark, root, symbol):
         return False
-    last = last_timestamp(read_month(spark, root, year, month))
+    last = last_timestamp(read_month(spark, root, year, month, symbol))
     return last is not None and last >= month_bounds_ms(year, month)[1] - step_ms

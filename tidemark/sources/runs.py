@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .lake import _fs
 
-TABLES = ("predictions", "bars", "contributions", "features", "folds")
+TABLES = ("predictions", "bars", "contributions", "features", "folds", "trades", "fold_backtest")
 DOCUMENTS = ("metrics", "importances", "calibration")
 
 
@@ -26,6 +26,8 @@ class Run:
     bars: DataFrame | None = None
     contributions: DataFrame | None = None
     features: DataFrame | None = None
+    trades: DataFrame | None = None
+    fold_backtest: DataFrame | None = None
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
@@ -76,4 +78,4 @@ def load_run(spark: SparkSession, root: str, name: str) -> Run:
         fs, p = _fs(spark, f"{path}/{table}.parquet")
         return spark.read.parquet(f"{path}/{table}.parquet") if fs.exists(p) else None
 
-    return Run(name, _get(spark, f"{path}/metrics.json"), spark.read.parquet(f"{path}/predictions.parquet"), _get(spark, f"{path}/importances.json"), _get(spark, f"{path}/calibration.json"), *(optional(t) for t in ("bars", "contributions", "features")))
+    return Run(name, _get(spark, f"{path}/metrics.json"), spark.read.parquet(f"{path}/predictions.parquet"), _get(spark, f"{path}/importances.json"), _get(spark, f"{path}/calibration.json"), *(optional(t) for t in ("bars", "contributions", "features", "trades", "fold_backtest")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,14 @@ def insert_batches(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; on a local master that names none, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def replay_closed_bars(spark: SparkSession, sf_dir: str, timeframe: str) -> DataFrame:
     """The events of a folder as a stream, run to its end: bars that had closed by the last event."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -56,7 +66,6 @@ def replay_closed_bars(spark: SparkSession, sf_dir: str, timeframe: str) -> Data
         *(price.alias(c) for c in ("open", "high", "low", "close")),
         F.get_json_object("props", "$.k").cast("double").alias("volume"),
     )
-    name = f"bars_{uuid.uuid4().hex}"
-    q = closed_bars(stream, timeframe).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    bars, root = closed_bars(stream, timeframe), f"{_shared(spark)}/tidemark/{uuid.uuid4().hex}"
+    bars.writeStream.format("parquet").option("path", f"{root}/bars").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(bars.schema).parquet(f"{root}/bars")
