@@ -13,6 +13,8 @@ the segments of each document carries the messages across, and a second pass fil
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,8 +28,8 @@ BITS = 16
 SEGMENT = 32
 #: Documents of each language that are used for fitting, at most.
 SLOTS = 192
-#: Languages that are learned, at most: those with the most documents, ties by name.
-LANGUAGES = 64
+#: Documents that are used for fitting in all, at most (but for one of each language).
+SAMPLE = 12_288
 
 
 class Words:
@@ -212,19 +214,37 @@ def _lower(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
 
 
-def fit(docs: DataFrame, train: Column, slots: int = SLOTS) -> ChainField | None:
-    """Fit on at most `slots` documents of each language: those with the least hash in each slot."""
+def _fit_rows(languages: list[str]):
+    def rows(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts += [t.lower().encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            labels += batch.column("label").to_pylist()
+        place = {x: k for k, x in enumerate(languages)}
+        state = ChainField(languages).fit(texts, np.array([place[x] for x in labels], dtype=np.int64)).__dict__ if texts else None
+        yield pa.RecordBatch.from_arrays([pa.array([state and pickle.dumps(state)], pa.binary())], names=["model"])
+
+    return rows
+
+
+def fit(docs: DataFrame, train: Column, slots: int = SLOTS, sample: int = SAMPLE) -> ChainField | None:
+    """Fit, in one task, on at most `slots` documents of each language (those with the least hash in each slot), and on at most
+    `sample` in all: with many languages each has fewer slots, one at least.  Every language of the training rows is learned."""
     known = docs.select("doc_id", "lang").where(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    if not languages:
         return None
-    languages = sorted(r["lang"] for r in counts)
-    h = known.where(F.col("lang").isin(languages)).withColumn("_h", F.xxhash64("doc_id", F.lit(11))).withColumn("_slot", F.pmod("_h", F.lit(slots)))
+    slots = max(1, min(slots, sample // len(languages)))
+    h = known.withColumn("_h", F.xxhash64("doc_id", F.lit(11))).withColumn("_slot", F.pmod("_h", F.lit(slots)))
     chosen = h.groupBy("lang", "_slot").agg(F.min(F.struct("_h", "doc_id")).alias("m")).select(F.col("m.doc_id").alias("doc_id"), F.col("lang").alias("label"))
-    # at most slots * LANGUAGES ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "label").collect()
-    texts = [r.text.lower().encode("utf-8", "surrogatepass") for r in rows]
-    return ChainField(languages).fit(texts, np.array([languages.index(r.label) for r in rows], dtype=np.int64))
+    # at most max(sample, languages) ids, and one text for each and label
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("doc_id"))
+    out = rows.repartition(1).sortWithinPartitions("h", "label").select("label", "text").mapInArrow(tc.releasing(_fit_rows(languages)), "model binary").collect()
+    if not out or out[0].model is None:
+        return None
+    model = ChainField(languages)
+    model.__dict__.update(pickle.loads(bytes(out[0].model)))
+    return model
 
 
 def _predict_rows(model: ChainField | None):
@@ -264,7 +284,8 @@ def identify_languages(docs: DataFrame, held_out_mod: int = 3, held_out: int = 1
     Learned from text and non-null lang of documents whose crc32(doc_id as text) mod
     held_out_mod is not held_out.  A null text, or one without a letter, is `und` with score 0, and
     so is every text if there is nothing to learn from.  Rows without an id are answered but not
-    learned from; repeated rows are each answered; other columns are ignored."""
+    learned from; repeated rows are each answered (and are one document in learning); a text of any length is read whole; of languages with
+    equal posteriors the first by name is given; other columns, whatever their names, are ignored, and an empty table gives no rows."""
     small_batches(docs.sparkSession)
     model = fit(docs, crc_mod("doc_id", held_out_mod) != held_out, slots)
     kind = docs.schema["doc_id"].dataType.simpleString()
