@@ -21,16 +21,21 @@ def test_logistic_queries_cover_symbols_and_folds(spark, tiny):
     assert {(r.symbol, r["count"]) for r in shares} == {(s, 72) for s in symbols}
 
 
-def test_tree_query_covers_symbols_and_rounds(spark, tiny, monkeypatch):
-    asked, whole = [], models.boosted_trees
+def test_tree_queries_cover_symbols_folds_and_rounds(spark, tiny, monkeypatch):
+    asked, whole = [], models.boosting.boost
+    fit = models.fit
 
-    def few(seed, rounds):
+    def few(*args, rounds=400):
         asked.append(rounds)
-        return whole(seed, 2).setMinInstancesPerNode(5)
+        return fit(*args, rounds=5)
 
-    monkeypatch.setattr(models, "boosted_trees", few)
-    got = queries.tree_forecast_importances(spark, tiny).collect()
+    monkeypatch.setattr(models, "fit", few)
     symbols = wanted(spark, tiny)
-    assert asked == [400] * len(symbols)
     n = len(queries.features.feature_names(**queries.SETTINGS.features.args()))
-    assert sorted({(r.symbol, r.feature) for r in got}) == sorted((r.symbol, r.feature) for r in got) and len(got) == n * len(symbols)
+    got = queries.tree_forecast_importances(spark, tiny).collect()
+    assert len({(r.symbol, r.feature) for r in got}) == len(got) == n * len(symbols)
+    p = queries.tree_forecasts(spark, tiny).groupBy("symbol", "fold").count().collect()
+    assert {(r.symbol, r.fold, r["count"]) for r in p} == {(s, k, 24) for s in symbols for k in range(3)}
+    shares = queries.tree_contributions(spark, tiny).groupBy("symbol").count().collect()
+    assert {(r.symbol, r["count"]) for r in shares} == {(s, 72) for s in symbols}
+    assert asked == [400] * 3 and whole.__defaults__[0] == 400

@@ -5,10 +5,11 @@ import math
 import random
 from datetime import date
 
+import numpy as np
 import pytest
 
 from tidemark.functions import timeframes as tf
-from tidemark.operators import backtest, candles, features, labels, models, scoring, splits, trades
+from tidemark.operators import backtest, boosting, candles, features, labels, models, scoring, splits, trades
 from tidemark.operators.ewm import ewm_means, ewm_std
 from tidemark.plans.dataset import FeatureSpec, Settings, TargetSpec, load
 
@@ -321,7 +322,8 @@ def test_tree_shap_adds_up():
         nodes = []
         grow(4, 100.0, nodes)
         x = [rng.gauss(0, 1) for _ in range(3)]
-        phi, mean = models.tree_shap(nodes, x, 3)
+        tree = {k: np.array(v) for k, v in zip(("feature", "threshold", "left", "right", "value", "cover"), zip(*nodes, strict=True), strict=True)}
+        (phi,), mean = boosting.shapley(tree, np.array([x]))
         assert abs(phi.sum() + mean - value(nodes, x, {0, 1, 2})) < 1e-9
         for i in range(3):
             rest = [j for j in range(3) if j != i]
@@ -336,10 +338,45 @@ def test_boosted_trees_contributions(spark):
         a, b = rng.gauss(0, 1), rng.gauss(0, 1)
         rows.append(("s", i, a, b, int(a + 0.3 * rng.gauss(0, 1) > 0)))
     df = spark.createDataFrame(rows, "symbol string, timestamp long, a double, b double, y long")
-    pred, fitted = models.fit_predict(df, ["a", "b"], "gbt", 1, 50, 1, rounds=3)
-    model = fitted[0][0]
-    imp = models.importances(spark, model, ["a", "b"]).collect()
-    assert imp[0].feature == "a"
-    p = {r.timestamp: r.p_up for r in pred.collect()}
-    for r in models.tree_contributions(pred, model, ["a", "b"]).collect():
+    names = ["a", "b"]
+    fitted = models.fit(df, names, "gbt", 1, 50, 1, rounds=20).cache()
+    imp = {r.feature: r.importance for r in models.importances(fitted, names, "gbt", 0).collect()}
+    assert imp["a"] > 10 * imp["b"] >= 0
+    found = models.predict(df, fitted, names, "gbt", 1, 50).collect()
+    p = {r.timestamp: r.p_up for r in found}
+    assert len(p) == 50 and sum((r.p_up > 0.5) == (r.y == 1) for r in found) >= 40
+    for r in models.contributions(df, fitted, names, "gbt", 1, 50).collect():
         assert abs(r.a + r.b + r.bias - math.log(p[r.timestamp] / (1 - p[r.timestamp]))) < 1e-6
+
+
+def test_logistic_is_at_its_optimum():
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(3, 5, 300), rng.normal(0, 0.01, 300), np.ones(300)])
+    y = (x[:, 0] - 3 + rng.normal(0, 3, 300) > 0).astype(float)
+    mean, scale, w, bias = boosting.logistic(x, y)
+    z = (x - mean) / scale
+    p = 1 / (1 + np.exp(-(z @ w + bias)))
+    assert np.abs(z.T @ (p - y) + w).max() < 1e-5 and abs((p - y).sum()) < 1e-5
+    assert w[0] > 1 and w[2] == 0
+    assert boosting.logistic(x, np.ones(300))[2].tolist() == [0, 0, 0]
+
+
+def test_trees_are_grown_by_the_best_gain():
+    """The first split of a tree is that of brute force, every leaf has its least number of rows, and limits hold."""
+    rng = np.random.default_rng(4)
+    x, n = rng.normal(0, 1, (240, 3)).round(1), 240
+    y = ((x[:, 1] > 0.3) ^ (rng.random(n) < 0.1)).astype(float)
+    nodes = boosting.boost(x, y, rounds=1, leaves=6, least=20, rows=1.0, columns=1.0)
+    _, (tree,) = boosting.trees(nodes)
+    slope, h = y.mean() - y, y.mean() * (1 - y.mean())
+
+    def gain(f, t):
+        low = x[:, f] <= t
+        side = lambda k: slope[k].sum() ** 2 / (h * k.sum())
+        return side(low) + side(~low) if min(low.sum(), n - low.sum()) >= 20 else -1
+
+    best = max((gain(f, t), -f, -t) for f in range(3) for t in np.unique(x[:, f]))
+    assert tree["feature"][0] == -best[1] and abs(tree["gain"][0] - best[0]) < 1e-9
+    leaves = tree["feature"] < 0
+    assert leaves.sum() <= 6 and tree["cover"][leaves].min() >= 20 and tree["cover"][leaves].sum() == n
+    assert len(boosting.trees(boosting.boost(x, np.ones(n), rounds=5))[1]) == 0

@@ -1,13 +1,26 @@
-"""Forecast models: two naive ones as aggregates, logistic regression and boosted trees from MLlib."""
+"""Forecast models: two naive ones as aggregates; logistic regression and boosted trees, one for each fold of each series.
+
+A series' training rows of a fold are fitted together, in one task for each: bars of one symbol, whose number its time range
+bounds (70,000 for eight years of hours), in doubles and one byte a value.  All series and folds are fitted at once, and the fitted
+models are a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEY, ORDER
+from . import boosting
 from .splits import assign, fold_bounds, number_rows, test_rows
 
+# executors need not have this library
+cloudpickle.register_pickle_by_value(boosting)
+
+FITS = ("logreg", "gbt")
+_LINEAR = "means array<double>, scales array<double>, weights array<double>, bias double"
+_NODES = "tree int, node int, feature int, threshold double, left int, right int, value double, cover double, gain double"
+
 
 def _train_sums(df: DataFrame, n_splits: int, test_size: int, purge: int, aggs: dict) -> DataFrame:
     """Aggregates over each fold's training rows, without a copy of a row for each fold that trains on it: sums
@@ -47,163 +60,95 @@ def naive_predictions(df: DataFrame, n_splits: int, test_size: int, purge: int,
     return test.withColumn("_m", F.explode(by_model)).select("*", "_m.*").drop("_m", "_prior", "_up", "_down", "pos", "n_rows")
 
 
-def logistic_regression(n_rows: int, c: float = 1.0):
-    """L2 regression like the usual C = 1 one: the penalty is 1 / (C n) on standardised features."""
-    from pyspark.ml.classification import LogisticRegression
-
-    return LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / (c * n_rows), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8)
-
-
-def boosted_trees(seed: int = 42, rounds: int = 400):
-    """The nearest built-in to leaf-wise boosting with 31 leaves; grown by level, so not the same model."""
-    from pyspark.ml.classification import GBTClassifier
-
-    return GBTClassifier(featuresCol="features", labelCol="y", maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=100, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
-
-
-def _scale(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
-    row = train.agg(*(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_pop(f).alias(f"s_{f}") for f in features)).first()
-    return {f: (row[f"m_{f}"], row[f"s_{f}"] or 1.0) for f in features}
-
-
-def _vector(df: DataFrame, features: list[str], scale: dict[str, tuple[float, float]] | None) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+def fit(df: DataFrame, features: list[str], name: str, n_splits: int, test_size: int, purge: int, seed: int = 42, rounds: int = 400) -> DataFrame:
+    """A fresh model for each series and fold.  name: logreg (a row for each: means, scales, weights, bias) or gbt (a row for each node of
+    each tree; tree -1 holds the log-odds that the trees start from).  df: rows with y and the features, without nulls."""
+    if name not in FITS:
+        raise ValueError(f"unknown model: {name}")
 
-    if scale:
-        df = df.withColumns({f"_x_{f}": (F.col(f) - scale[f][0]) / scale[f][1] for f in features})
-    cols = [f"_x_{f}" if scale else f for f in features]
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(df).drop(*(c for c in cols if scale))
+    def run(key, pdf):
+        import pandas as pd
 
-
-def fit_predict(df: DataFrame, features: list[str], name: str, n_splits: int, test_size: int, purge: int, seed: int = 42, rounds: int = 400) -> tuple[DataFrame, list]:
-    """p_up of a fresh model per fold for all its test rows, and the fitted (model, scale) pairs.  name: logreg or gbt.
-
-    One series at a time: df holds one symbol, or symbols whose rows may be trained on together."""
-    from pyspark.ml.functions import vector_to_array
-
-    roles = assign(df, n_splits, test_size, purge).cache()
-    parts, models = [], []
-    for fold in range(n_splits):
-        train = roles.where((F.col("fold") == fold) & (F.col("role") == "train"))
-        scale = _scale(train, features) if name == "logreg" else None
-        estimator = logistic_regression(train.count()) if name == "logreg" else boosted_trees(seed, rounds)
-        model = estimator.fit(_vector(train, features, scale))
-        test = _vector(roles.where((F.col("fold") == fold) & (F.col("role") == "test")), features, scale)
-        parts.append(model.transform(test).withColumn("p_up", vector_to_array("probability")[1]).withColumn("model", F.lit(name)).drop("features", "rawPrediction", "probability", "prediction", "role", "pos"))
-        models.append((model, scale))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, models
-
-
-def importances(spark, model, features: list[str]) -> DataFrame:
-    """(feature, importance) of a fitted model, largest first."""
-    values = [abs(float(x)) for x in model.coefficients] if hasattr(model, "coefficients") else [float(x) for x in model.featureImportances.toArray()]
-    return spark.createDataFrame(sorted(zip(features, values, strict=True), key=lambda x: (-x[1], x[0])), "feature string, importance double")
-
-
-def linear_contributions(df: DataFrame, model, scale: dict[str, tuple[float, float]], features: list[str]) -> DataFrame:
-    """Exact contributions of a linear model: coefficient times standardised value for each feature, and the bias."""
-    beta = [float(x) for x in model.coefficients]
-    return df.select(KEY, ORDER, *(((F.col(f) - scale[f][0]) / scale[f][1] * b).alias(f) for f, b in zip(features, beta, strict=True)), F.lit(float(model.intercept)).alias("bias"))
-
-
-def _tree_nodes(tree) -> list[tuple]:
-    """(feature, threshold, left, right, value, cover) of a regression tree's nodes, from the JVM."""
-    out: list = []
-
-    def visit(node) -> int:
-        at = len(out)
-        out.append(None)
-        cover = float(node.impurityStats().count())
-        if node.subtreeDepth() == 0:
-            out[at] = (-1, 0.0, -1, -1, float(node.prediction()), cover)
+        pdf = pdf.sort_values(ORDER)
+        x, y = pdf[features].to_numpy(float), pdf["y"].to_numpy(float)
+        if name == "logreg":
+            mean, scale, weights, bias = boosting.logistic(x, y)
+            out = pd.DataFrame({"means": [mean], "scales": [scale], "weights": [weights], "bias": [bias]})
         else:
-            split = node.split()
-            left, right = visit(node.leftChild()), visit(node.rightChild())
-            out[at] = (int(split.featureIndex()), float(split.threshold()), left, right, float(node.prediction()), cover)
-        return at
-
-    visit(tree._call_java("rootNode"))
-    return out
-
-
-def tree_shap(nodes: list[tuple], x, n_features: int):
-    """Shapley values of one tree for a row, by the published path-dependent algorithm; and its mean output."""
-    import numpy as np
-
-    phi = np.zeros(n_features)
-
-    def extend(path, zero, one, feature):
-        path = [list(p) for p in path] + [[feature, zero, one, 1.0 if not path else 0.0]]
-        n = len(path)
-        for i in range(n - 2, -1, -1):
-            path[i + 1][3] += one * path[i][3] * (i + 1) / n
-            path[i][3] = zero * path[i][3] * (n - 1 - i) / n
-        return path
-
-    def unwind(path, i):
-        n = len(path) - 1
-        zero, one = path[i][1], path[i][2]
-        path = [list(p) for p in path]
-        nxt = path[n][3]
-        for j in range(n - 1, -1, -1):
-            if one != 0:
-                t = path[j][3]
-                path[j][3] = nxt * (n + 1) / ((j + 1) * one)
-                nxt = t - path[j][3] * zero * (n - j) / (n + 1)
-            else:
-                path[j][3] = path[j][3] * (n + 1) / (zero * (n - j))
-        for j in range(i, n):
-            path[j][:3] = path[j + 1][:3]
-        return path[:n]
-
-    def walk(at, path, zero, one, feature):
-        path = extend(path, zero, one, feature)
-        f, threshold, left, right, value, cover = nodes[at]
-        if f < 0:
-            for i in range(1, len(path)):
-                w = sum(p[3] for p in unwind(path, i))
-                phi[path[i][0]] += w * (path[i][2] - path[i][1]) * value
-            return
-        hot, cold = (left, right) if x[f] <= threshold else (right, left)
-        z = o = 1.0
-        for i in range(1, len(path)):
-            if path[i][0] == f:
-                z, o = path[i][1], path[i][2]
-                path = unwind(path, i)
-                break
-        walk(hot, path, z * nodes[hot][5] / cover, o, f)
-        walk(cold, path, z * nodes[cold][5] / cover, 0.0, f)
-
-    walk(0, [], 1.0, 1.0, -1)
-
-    def mean(at):
-        f, _, left, right, value, cover = nodes[at]
-        return value if f < 0 else (nodes[left][5] * mean(left) + nodes[right][5] * mean(right)) / cover
-
-    return phi, mean(0)
-
-
-def tree_contributions(df: DataFrame, model, features: list[str]) -> DataFrame:
-    """Contributions of boosted trees in log-odds; with the bias they add up to the log-odds of p_up."""
-    trees = [(2.0 * float(w), _tree_nodes(t)) for t, w in zip(model.trees, model.treeWeights, strict=True)]  # p = sigmoid(2 F)
-
-    def rows(batches):
+            out = pd.DataFrame(boosting.boost(x, y, rounds=rounds, seed=seed))
+        out.insert(0, KEY, key[0])
+        out.insert(1, "fold", key[1])
+        return out
+
+    train = assign(df.select(KEY, ORDER, "y", *features), n_splits, test_size, purge).where("role = 'train'")
+    schema = f"{KEY} string, fold long, {_LINEAR if name == 'logreg' else _NODES}"
+    return train.drop("role", "pos").groupBy(KEY, "fold").applyInPandas(run, schema)
+
+
+def _beside_nodes(test: DataFrame, nodes: DataFrame, features: list[str], per_rows, names: list[str]) -> DataFrame:
+    """Columns that per_rows(nodes, x) gives for each test row, from the trees of its series and fold."""
+
+    def run(key, left, right):
+        import pandas as pd
+
+        out = left[[KEY, "fold", ORDER]].reset_index(drop=True)
+        if not len(left) or not len(right):
+            return out.iloc[:0].assign(**{n: pd.Series(dtype=float) for n in names})
+        values = per_rows({k: right[k].to_numpy() for k in boosting.NODE}, left[features].to_numpy(float))
+        return out.assign(**{n: values[:, i] for i, n in enumerate(names)})
+
+    schema = f"{KEY} string, fold long, {ORDER} long, " + ", ".join(f"`{n}` double" for n in names)
+    rows = test.select(KEY, "fold", ORDER, *features)
+    return rows.groupBy(KEY, "fold").cogroup(nodes.groupBy(KEY, "fold")).applyInPandas(run, schema)
+
+
+def _terms(features: list[str]) -> list[Column]:
+    """A linear model's terms: weight times standardised value."""
+    return [(F.col(f) - F.col("means")[i]) / F.col("scales")[i] * F.col("weights")[i] for i, f in enumerate(features)]
+
+
+def predict(df: DataFrame, fitted: DataFrame, features: list[str], name: str, n_splits: int, test_size: int) -> DataFrame:
+    """Every fold's test rows with model and p_up, by the model of their series and fold."""
+    test = test_rows(df, n_splits, test_size).drop("pos", "n_rows")
+    if name == "logreg":
+        odds = sum(_terms(features), F.col("bias"))
+        out = test.join(fitted, [KEY, "fold"]).withColumn("p_up", 1 / (1 + F.exp(-odds))).drop("means", "scales", "weights", "bias")
+    else:
+        p_up = _beside_nodes(test, fitted, features, lambda nodes, x: boosting.sigmoid(boosting.log_odds(nodes, x))[:, None], ["p_up"])
+        out = test.join(p_up, [KEY, "fold", ORDER])
+    return out.withColumn("model", F.lit(name))
+
+
+def importances(fitted: DataFrame, features: list[str], name: str, fold: int) -> DataFrame:
+    """(symbol, feature, importance) of one fold's models: a linear model's absolute weights, or the total gain of the trees' splits;
+    0 for a feature without any."""
+    of = fitted.where(F.col("fold") == fold)
+    if name == "logreg":
+        of = of.select(KEY, *(F.abs(F.col("weights")[i]).alias(f"_{i}") for i in range(len(features))))
+    else:
+        of = of.groupBy(KEY).agg(*(F.sum(F.when(F.col("feature") == i, F.col("gain")).otherwise(0.0)).alias(f"_{i}") for i in range(len(features))))
+    pairs = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"_{i}").alias("importance")) for i, f in enumerate(features)))
+    return of.select(KEY, F.explode(pairs).alias("p")).select(KEY, "p.*")
+
+
+def contributions(df: DataFrame, fitted: DataFrame, features: list[str], name: str, n_splits: int, test_size: int) -> DataFrame:
+    """(symbol, fold, timestamp, features, bias) of every test row, by the model of its series and fold: exact terms of a linear model, exact
+    Shapley values of trees.  Features and bias add up to the log-odds of p_up."""
+    test = test_rows(df, n_splits, test_size)
+    if name == "logreg":
+        terms = (t.alias(f) for t, f in zip(_terms(features), features, strict=True))
+        return test.join(fitted, [KEY, "fold"]).select(KEY, "fold", ORDER, *terms, "bias")
+
+    def shares(nodes, x):
         import numpy as np
 
-        for pdf in batches:
-            out = np.zeros((len(pdf), len(features) + 1))
-            for i, x in enumerate(pdf[features].to_numpy()):
-                for w, nodes in trees:
-                    phi, mean = tree_shap(nodes, x, len(features))
-                    out[i, :-1] += w * phi
-                    out[i, -1] += w * mean
-            res = pdf[[KEY, ORDER]].copy()
-            for k, f in enumerate([*features, "bias"]):
-                res[f] = out[:, k]
-            yield res
-
-    schema = f"{KEY} string, {ORDER} long, " + ", ".join(f"`{f}` double" for f in [*features, "bias"])
-    return df.select(KEY, ORDER, *features).mapInPandas(rows, schema)
+        start, trees = boosting.trees(nodes)
+        out = np.zeros((len(x), len(features) + 1))
+        out[:, -1] = start
+        for tree in trees:
+            phi, mean = boosting.shapley(tree, x)
+            out[:, :-1] += phi
+            out[:, -1] += mean
+        return out
+
+    return _beside_nodes(test, fitted, features, shares, [*features, "bias"])

@@ -17,7 +17,7 @@ KNOWN = ("prior", "momentum_sign", "logreg", "gbt")
 
 
 def forecasts(df: DataFrame, s: Settings, names: tuple[str, ...] = KNOWN) -> tuple[DataFrame, dict]:
-    """Test rows of all folds under the named models, and the fitted ones by name."""
+    """Test rows of all folds under the named models, and the fitted ones as cached tables by name."""
     unknown = sorted(set(names) - set(KNOWN))
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
@@ -26,10 +26,11 @@ def forecasts(df: DataFrame, s: Settings, names: tuple[str, ...] = KNOWN) -> tup
     keep = ["symbol", "model", "fold", "timestamp", "y", "p_up", "ret_next", "holding_bars", "side", "close", "sigma"]
     parts = [models.naive_predictions(df, s.n_splits, s.test_size, s.purge).where(F.col("model").isin(*names)).select(keep)]
     fitted = {}
-    for name in ("logreg", "gbt"):
+    for name in models.FITS:
         if name in names:
-            part, fitted[name] = models.fit_predict(df, x, name, s.n_splits, s.test_size, s.purge, s.seed)
-            parts.append(part.select(keep))
+            # the fits are read for forecasts, importances, contributions and the run folder
+            fitted[name] = models.fit(df, x, name, s.n_splits, s.test_size, s.purge, s.seed).cache()
+            parts.append(models.predict(df, fitted[name], x, name, s.n_splits, s.test_size).select(keep))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -59,15 +60,9 @@ def report(pred: DataFrame, s: Settings, samples_: DataFrame | None = None) -> d
     }
 
 
-def contributions(df: DataFrame, fitted: dict, x: list[str], s: Settings) -> DataFrame:
+def contributions(df: DataFrame, fitted: dict[str, DataFrame], x: list[str], s: Settings) -> DataFrame:
     """(model, fold, symbol, timestamp, features, bias) of each test row, by the model of its fold; they add up to the log-odds of p_up."""
-    tests = splits.assign(df, s.n_splits, s.test_size, s.purge).where("role = 'test'")
-    parts = []
-    for name, pairs in fitted.items():
-        for fold, (model, scale) in enumerate(pairs):
-            rows = tests.where(F.col("fold") == fold)
-            part = models.linear_contributions(rows, model, scale, x) if name == "logreg" else models.tree_contributions(rows, model, x)
-            parts.append(part.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "*"))
+    parts = [models.contributions(df, f, x, name, s.n_splits, s.test_size).select(F.lit(name).alias("model"), "fold", "symbol", "timestamp", *x, "bias") for name, f in fitted.items()]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -81,15 +76,16 @@ def run(spark: SparkSession, candle_rows: DataFrame, s: Settings, root: str, nam
     rows = lambda d: [json.loads(r) for r in d.select(F.to_json(F.struct("*")).alias("j")).toPandas().j]
     # tables of a few rows per symbol and model
     metrics = {"config": json.loads(json.dumps(s, default=lambda o: o.__dict__)), "results": {k: rows(out[k]) for k in ("aggregate", "pooled_backtest", "trade_backtest")}}
-    imp = {n: {r.feature: r.importance for r in models.importances(spark, f[-1][0], x).collect()} for n, f in fitted.items()}
+    # over several series, their mean
+    imp = {n: {r.feature: r.v for r in models.importances(f, x, n, s.n_splits - 1).groupBy("feature").agg(F.avg("importance").alias("v")).orderBy(F.desc("v"), "feature").collect()} for n, f in fitted.items()}
     more = {"bars": df.select("symbol", "timestamp", "open", "high", "low", "close", "volume"), "features": df.select("symbol", "timestamp", *x), "folds": out["folds"], "importances": imp, "calibration": {"rows": rows(out["calibration"])}}
     more |= {"trades": out["trades"], "fold_backtest": out["fold_backtest"]}
     if fitted:
         more["contributions"] = contributions(df, fitted, x, s)
     path = runs.write_run(spark, root, pred, metrics, **more)
-    for n, pairs in fitted.items():
-        for k, (model, _) in enumerate(pairs):
-            model.write().overwrite().save(f"{path}/models/{n}_{k}")
+    for n, f in fitted.items():
+        f.write.partitionBy("fold").parquet(f"{path}/models/{n}.parquet")
+        f.unpersist()
     df.unpersist()
     pred.unpersist()
     return path

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -410,40 +408,52 @@ def trailing_trades(spark: SparkSession, d: str) -> DataFrame:
     return trades.trailing_trades(pred.withColumn("p_up", F.col("p_up") + 0.4), HOUR, 0.001, 1.5, 1.0, 6)
 
 
-def _series(spark: SparkSession, d: str) -> tuple[list[tuple[str, DataFrame]], list[str]]:
-    """Each symbol's samples, as models are trained on one series at a time; and the features' names."""
+def _fitted(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Samples, and the models of all their series and folds; and the features' names."""
     names = features.feature_names(**SETTINGS.features.args())
-    rows = dataset.samples(_candles(spark, d), SETTINGS).select("symbol", "timestamp", "close", "y", "ret_next", *names).cache()
-    # a series is one partition already, as its windows are; without the empty ones each step of a fit is one task
-    return [(r.symbol, rows.where(F.col("symbol") == r.symbol).coalesce(1)) for r in rows.select("symbol").distinct().orderBy("symbol").collect()], names
+    rows = dataset.samples(_candles(spark, d), SETTINGS).select("symbol", "timestamp", "close", "y", "ret_next", *names)
+    return rows, models.fit(rows, names, name, SETTINGS.n_splits, SETTINGS.test_size, SETTINGS.purge, SETTINGS.seed), names
 
 
-def _fitted(spark: SparkSession, d: str, name: str, n_splits: int) -> tuple[list[tuple[str, DataFrame, list]], list[str]]:
-    """(symbol, forecasts, fitted models) of every symbol over the last n_splits folds, some symbols at a time."""
-    series, names = _series(spark, d)
-    fit = lambda x: (x[0], *models.fit_predict(x[1], names, name, n_splits, SETTINGS.test_size, SETTINGS.purge, SETTINGS.seed))
-    with ThreadPoolExecutor(4) as pool:
-        return list(pool.map(fit, series)), names
+def _forecasts(spark: SparkSession, d: str, name: str) -> DataFrame:
+    rows, fitted, names = _fitted(spark, d, name)
+    return models.predict(rows, fitted, names, name, SETTINGS.n_splits, SETTINGS.test_size).select("model", "symbol", "fold", "timestamp", "y", "p_up", "ret_next")
+
+
+def _contributions(spark: SparkSession, d: str, name: str) -> DataFrame:
+    rows, fitted, names = _fitted(spark, d, name)
+    return models.contributions(rows, fitted, names, name, SETTINGS.n_splits, SETTINGS.test_size)
+
+
+def _importances(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Of the last fold's models."""
+    _, fitted, names = _fitted(spark, d, name)
+    return models.importances(fitted, names, name, SETTINGS.n_splits - 1)
 
 
 @query()
 def logistic_forecasts(spark: SparkSession, d: str) -> DataFrame:
-    fitted, _ = _fitted(spark, d, "logreg", SETTINGS.n_splits)
-    return reduce(DataFrame.unionByName, (pred for _, pred, _ in fitted)).select("model", "symbol", "fold", "timestamp", "y", "p_up", "ret_next")
+    return _forecasts(spark, d, "logreg")
 
 
 @query()
 def logistic_contributions(spark: SparkSession, d: str) -> DataFrame:
-    """Of each fold's test rows, by the model of that fold."""
-    fitted, names = _fitted(spark, d, "logreg", SETTINGS.n_splits)
-    return reduce(DataFrame.unionByName, (models.linear_contributions(pred.where(F.col("fold") == fold), *m, names) for _, pred, found in fitted for fold, m in enumerate(found)))
+    return _contributions(spark, d, "logreg")
+
+
+@query()
+def tree_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    return _forecasts(spark, d, "gbt")
+
+
+@query()
+def tree_contributions(spark: SparkSession, d: str) -> DataFrame:
+    return _contributions(spark, d, "gbt")
 
 
 @query()
 def tree_forecast_importances(spark: SparkSession, d: str) -> DataFrame:
-    """Of the last fold's model, for every symbol.  The last fold is the same however many there are."""
-    fitted, names = _fitted(spark, d, "gbt", 1)
-    return reduce(DataFrame.unionByName, (models.importances(spark, found[-1][0], names).withColumn("symbol", F.lit(symbol)) for symbol, _, found in fitted)).select("symbol", "feature", "importance")
+    return _importances(spark, d, "gbt")
 
 
 @query(f"{o.BASE}, c as (select *, max(timestamp) over () as top from candles) select symbol, timestamp, open, high, low, close, {o.rounded('volume')}, n_candles from bars where timestamp + {HOUR} <= (select max(timestamp) from candles)")
