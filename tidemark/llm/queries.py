@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .conversation_trie import conversation_trie
 from .embedding_dedup import embedding_groups
+from .improbable_digest import digest_documents
 from .language_id import identify_languages
 from .minhash import minhash_groups
 from .mixing import mix_sources, mix_sql
 from .packing import pack_documents
+from .spelling_variants import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .suffix_tree_lm import score_texts
 from .toxicity import score_toxicity
@@ -57,6 +60,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_language_id": op2_language_id,
@@ -68,6 +83,9 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
