@@ -8,8 +8,9 @@ from datetime import date
 import numpy as np
 import pytest
 
+import brute
 from tidemark.functions import timeframes as tf
-from tidemark.operators import backtest, boosting, candles, features, labels, models, scoring, splits, trades
+from tidemark.operators import backtest, boosting, candles, chains, features, labels, models, scoring, splits, trades
 from tidemark.operators.ewm import ewm_means, ewm_std
 from tidemark.plans.dataset import FeatureSpec, Settings, TargetSpec, load
 
@@ -263,7 +264,7 @@ def path(closes, ps, sides, spread=0.0, highs=None):
 
 
 def test_trailing_trades():
-    run = lambda rows, **k: trades.trailing_path(rows, 1, 0.0, 2.0, 1.0, 10, **k)
+    run = lambda rows, **k: brute.trailing_path(rows, 1, 0.0, 2.0, 1.0, 10, **k)
     (t,) = run(path([100, 101.5, 100.4, 100.4], [0.9, 0.9, 0.1, 0.1], [1, 1, 1, 1]))
     assert (t[7], t[8], round(t[6], 9)) == ("sl", 1, round(101.5 * 0.99, 9))
     (t,) = run(path([100, 103], [0.9, 0.1], [1, 1]))
@@ -279,15 +280,38 @@ def test_trailing_trades():
     assert [(x[0], x[7]) for x in again] == [(0, "tp"), (1, "tp")]
 
 
-def test_trailing_query(spark):
-    rows = path(walk(60), [0.9 if i % 3 else 0.4 for i in range(60)], [1 if i % 7 else -1 for i in range(60)])
+@pytest.mark.parametrize("rows_", [4096, 11])
+def test_trailing_query(spark, rows_):
+    """In one block, and in many."""
+    rows = path(walk(60), [0.9 if i % 3 else 0.4 for i in range(60)], [1 if i % 7 else -1 for i in range(60)], spread=0.4)
     df = spark.createDataFrame([("s", m, *r) for m in "ab" for r in rows], "symbol string, model string, timestamp long, p_up double, side long, high double, low double, close double, sigma double")
-    got = trades.trailing_trades(df, 1, 0.001, 2.0, 1.0, 10).collect()
-    want = trades.trailing_path(rows, 1, 0.001, 2.0, 1.0, 10)
+    got = trades.trailing_trades(df, 1, 0.001, 2.0, 1.0, 10, rows=rows_).collect()
+    want = brute.trailing_path(rows, 1, 0.001, 2.0, 1.0, 10)
     assert sorted(tuple(r)[2:] for r in got if r.model == "a") == sorted(want)
     assert len(got) == 2 * len(want) > 0
 
 
+@pytest.mark.parametrize("span, fan", [(7, 2), (40, 3), (1000, 512)])
+def test_one_at_a_time(spark, span, fan, monkeypatch):
+    """Blocks shorter than trades, several blocks of blocks, and one block."""
+    monkeypatch.setattr(chains, "FAN", fan)
+    rng = random.Random(span)
+    rows = [(k, e, e + rng.choice([1, 2, 3, 9, 25]), f"{k}{e}") for k in "ab" for e in sorted(rng.sample(range(-50, 400), 170))]
+    rows += [("c", 5, 6, "x"), ("d", 0, 900, "y"), ("d", 3, 4, "n"), ("d", 900, 901, "z")]
+    df = spark.createDataFrame(rows, "symbol string, entry_ts long, exit_ts long, name string")
+    got = sorted(tuple(r) for r in chains.one_at_a_time(df, ("symbol",), span).collect())
+    assert got == sorted((k, *r) for k in "abcd" for r in brute.single_position([r[1:] for r in rows if r[0] == k]))
+
+
+def test_trades_run_without_python_workers(spark):
+    rows = path(walk(20), [0.9] * 20, [1] * 20)
+    df = spark.createDataFrame([("s", "a", *r) for r in rows], "symbol string, model string, timestamp long, p_up double, side long, high double, low double, close double, sigma double")
+    plans = [trades.trailing_trades(df, 1, 0.0, 2.0, 1.0, 10), trades.fixed_trades(signals(spark, [(0, 0.6, 0.05, 3, 1)]), 1, 0.0)]
+    for d in plans:
+        text = d._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
+
+
 def test_naive_models(spark):
     rows = [("s", i, [1.0, 1.0, 1.0, 1.0, -1.0, -1.0, -1.0, -1.0, -1.0, -1.0][i % 10], [1, 1, 1, 0, 1, 0, 0, 0, 1, 1][i % 10]) for i in range(20)] + [("s", 20, 1.0, 1), ("s", 21, -1.0, 0)]
     out = {(r.model, r.timestamp): r.p_up for r in models.naive_predictions(spark.createDataFrame(rows, "symbol string, timestamp long, ret_1 double, y long"), 1, 2, 0).collect()}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEY, ORDER
+from .blocks import numbered
 
 #: Decay from one block to the next below which only the nearest blocks count.
 NEAR = 1e-4
@@ -21,8 +22,7 @@ NEAR = 1e-4
 def decayed_sums(df: DataFrame, columns: dict[str, Column], q: float, keys: tuple[str, ...] = (KEY,), order: str = ORDER) -> DataFrame:
     """Adds, for each name, the decayed sum of its column (never null) in time order, and n, the row's number."""
     block = max(1, min(256, int(27 / -math.log(q)))) if 0 < q < 1 else 1
-    by = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumn("n", F.row_number().over(by)).withColumn("_b", F.expr(f"(n - 1) div {block}")).withColumn("_p", (F.col("n") - 1) % block)
+    rows = numbered(df, keys, order).withColumn("n", F.col("pos") + 1).withColumns({"_b": F.expr(f"pos div {block}"), "_p": F.col("pos") % block}).drop("pos")
     run = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_s_{k}": F.sum(c * F.pow(F.lit(q), -F.col("_p"))).over(run) * F.pow(F.lit(q), F.col("_p")) for k, c in columns.items()})
     ends = rows.groupBy(*keys, F.col("_b").alias("_o")).agg(*(F.max_by(f"_s_{k}", "_p").alias(f"_e_{k}") for k in columns))
@@ -48,9 +48,9 @@ def ewm_means(df: DataFrame, columns: dict[str, str], alpha: float, min_periods:
     null (all or none are); null until there are min_periods."""
     first = next(iter(columns.values()))
     rows = df.where(F.col(first).isNotNull())
-    start = F.row_number().over(Window.partitionBy(KEY).orderBy(ORDER)) == 1
-    rows = rows.withColumn("_w", F.when(start, 1.0).otherwise(alpha))
-    sums = decayed_sums(rows, {k: F.col("_w") * F.col(c) for k, c in columns.items()}, 1 - alpha)
+    # the first value counts whole
+    weight = F.when(F.col("_p") + F.col("_b") == 0, 1.0).otherwise(alpha)
+    sums = decayed_sums(rows, {k: weight * F.col(c) for k, c in columns.items()}, 1 - alpha)
     return sums.select(KEY, ORDER, *(F.when(F.col("n") >= min_periods, F.col(k)).alias(k) for k in columns))
 
 

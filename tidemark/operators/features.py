@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEY, ORDER, full, safe_div, series, trailing
+from ..functions.frames import KEY, ORDER, full, safe_div
+from ..functions.frames import trailing as _trailing
+from .blocks import SPAN_MS, block_of, carried, in_blocks, numbered
 from .ewm import ewm_means
 
 
-def returns(bars: DataFrame) -> DataFrame:
+def returns(bars: DataFrame, rows: int | None = None) -> DataFrame:
     """ret_1: log return on the bar before."""
-    return bars.withColumn("ret_1", F.log(F.col("close") / F.lag("close").over(series())))
+    return in_blocks(bars, _returns, 1, rows=rows)
 
 
-def price_features(bars: DataFrame, momentum: tuple[int, ...], vol: tuple[int, ...], range_vol: tuple[int, ...], channel: tuple[int, ...]) -> DataFrame:
-    """Momentum, volatility, range and channel features; windows are rows, and null until full."""
-    w = series()
-    df = bars if "ret_1" in bars.columns else returns(bars)
+def _returns(bars: DataFrame, w: WindowSpec) -> DataFrame:
+    return bars.withColumn("ret_1", F.log(F.col("close") / F.lag("close").over(w)))
+
+
+def price_features(bars: DataFrame, momentum: tuple[int, ...], vol: tuple[int, ...], range_vol: tuple[int, ...], channel: tuple[int, ...], rows: int | None = None) -> DataFrame:
+    """Momentum, volatility, range and channel features; windows are rows, and null until full.  A series is cut into blocks of `rows` rows."""
+    return in_blocks(bars, lambda df, w: _price_features(df, w, momentum, vol, range_vol, channel), 1 + max(*momentum, *vol, *range_vol, *channel, 1, 1), rows=rows)
+
+
+def _price_features(bars: DataFrame, w: WindowSpec, momentum: tuple[int, ...], vol: tuple[int, ...], range_vol: tuple[int, ...], channel: tuple[int, ...]) -> DataFrame:
+    df = bars if "ret_1" in bars.columns else _returns(bars, w)
+    trailing = functools.partial(_trailing, spec=w)
     r, high, low, close = (F.col(c) for c in ("ret_1", "high", "low", "close"))
     hl, co = F.log(high / low), F.log(close / F.col("open"))
     new = {f"ret_{k}": full(F.sum, r, k, trailing(k)) for k in momentum}
@@ -43,26 +54,36 @@ def price_features(bars: DataFrame, momentum: tuple[int, ...], vol: tuple[int, .
     return df.withColumns(more).drop(*(f"_{s}{k}" for k in channel for s in "hl"))
 
 
-def rsi(bars: DataFrame, period: int) -> DataFrame:
+def rsi(bars: DataFrame, period: int, rows: int | None = None) -> DataFrame:
     """(symbol, timestamp, rsi): Wilder's relative strength from smoothed gains and losses."""
-    step = F.col("close") - F.lag("close").over(series())
-    moves = bars.select(KEY, ORDER, F.greatest(step, F.lit(0.0)).alias("gain"), F.greatest(-step, F.lit(0.0)).alias("loss"), step.alias("_step")).where("_step is not null")
+    known = bars.select(KEY, ORDER, "close", *(["pos"] if "pos" in bars.columns else []))
+    steps = in_blocks(known, lambda df, w: df.withColumn("_step", F.col("close") - F.lag("close").over(w)), 1, rows=rows)
+    step = F.col("_step")
+    moves = steps.select(KEY, ORDER, F.greatest(step, F.lit(0.0)).alias("gain"), F.greatest(-step, F.lit(0.0)).alias("loss"), "_step").where("_step is not null")
     smooth = ewm_means(moves, {"g": "gain", "l": "loss"}, 1 / period, period)
     return smooth.select(KEY, ORDER, safe_div(100 * F.col("g"), F.col("g") + F.col("l")).alias(f"rsi_{period}"))
 
 
-def pivots(bars: DataFrame, k: int) -> DataFrame:
-    """Distance to the last pivot high and low: strict extremes of k bars on either side, known k bars later."""
-    w = series()
-    before, after = w.rowsBetween(-k, -1), w.rowsBetween(1, k)
+def pivots(bars: DataFrame, k: int, rows: int | None = None) -> DataFrame:
+    """Distance to the last pivot high and low: strict extremes of k bars on either side, known k bars later.
+
+    What is known at a bar for the first time lies in the 2 k bars before; the last one known is filled forward in blocks of time, which hand it on."""
 
-    def extreme(column: str, agg, beats):
-        x = F.col(column)
-        return F.when(beats(x, full(agg, x, k, before)) & beats(x, full(agg, x, k, after)), x)
+    def marked(df: DataFrame, w: WindowSpec) -> DataFrame:
+        before, after = w.rowsBetween(-2 * k, -k - 1), w.rowsBetween(-k + 1, 0)
 
-    marked = bars.withColumns({"_ph": extreme("high", F.max, lambda a, b: a > b), "_pl": extreme("low", F.min, lambda a, b: a < b)})
-    known = w.rowsBetween(Window.unboundedPreceding, -k)
-    return marked.withColumns({f"pivot_high_dist_{k}": F.last("_ph", ignorenulls=True).over(known) / F.col("close") - 1, f"pivot_low_dist_{k}": F.last("_pl", ignorenulls=True).over(known) / F.col("close") - 1}).drop("_ph", "_pl")
+        def extreme(column: str, agg, beats):
+            x, there = F.col(column), F.lag(column, k).over(w)
+            return F.when(beats(there, full(agg, x, k, before)) & beats(there, full(agg, x, k, after)), there)
+
+        return df.withColumns({"_ph": extreme("high", F.max, lambda a, b: a > b), "_pl": extreme("low", F.min, lambda a, b: a < b)})
+
+    df = in_blocks(bars, marked, 2 * k, rows=rows).withColumn("_b", F.expr(block_of(ORDER, SPAN_MS)))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ORDER)))
+    df = carried(df, {"_bh": last("_ph"), "_bl": last("_pl")}, lambda t, w: F.last(t, ignorenulls=True).over(w), (KEY,))
+    run = Window.partitionBy(KEY, "_b").orderBy(ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    known = lambda now, before: F.coalesce(F.last(now, ignorenulls=True).over(run), F.col(before)) / F.col("close") - 1
+    return df.withColumns({f"pivot_high_dist_{k}": known("_ph", "_bh"), f"pivot_low_dist_{k}": known("_pl", "_bl")}).drop("_ph", "_pl", "_bh", "_bl", "_b")
 
 
 def calendar(bars: DataFrame) -> DataFrame:
@@ -72,26 +93,32 @@ def calendar(bars: DataFrame) -> DataFrame:
     return bars.withColumns({f"{n}_{f.__name__}": f(2 * math.pi * x / p) for n, x, p in (("hour", hour, 24.0), ("dow", dow, 7.0)) for f in (F.sin, F.cos)})
 
 
-def volume_z(bars: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+def volume_z(bars: DataFrame, windows: tuple[int, ...], rows: int | None = None) -> DataFrame:
     """Log volume against the mean and deviation of the k - 1 bars before."""
     if min(windows) < 3:
         raise ValueError("a volume window needs at least 3 bars")
     x = F.log1p("volume")
-    out = {}
-    for k in windows:
-        past = trailing(k - 1, skip=1)
-        out[f"volume_z_{k}"] = safe_div(x - full(F.avg, x, k - 1, past), full(F.stddev_samp, x, k - 1, past))
-    return bars.withColumns(out)
+
+    def scores(df: DataFrame, w: WindowSpec) -> DataFrame:
+        out = {}
+        for k in windows:
+            past = _trailing(k - 1, w, skip=1)
+            out[f"volume_z_{k}"] = safe_div(x - full(F.avg, x, k - 1, past), full(F.stddev_samp, x, k - 1, past))
+        return df.withColumns(out)
+
+    return in_blocks(bars, scores, max(windows), rows=rows)
 
 
 def all_features(bars: DataFrame, momentum, vol, range_vol, channel, rsi_period: int, pivot_window: int = 0, volume_windows: tuple[int, ...] = ()) -> DataFrame:
-    """Bars with every feature; series are dealt once for all windows, and the smoothed ones joined by key."""
-    df = calendar(price_features(bars, momentum, vol, range_vol, channel))
+    """Bars with every feature; rows are numbered once for all windows, and the smoothed ones joined by key."""
+    placed = bars if "pos" in bars.columns else numbered(bars)
+    df = calendar(price_features(placed, momentum, vol, range_vol, channel))
     if pivot_window:
         df = pivots(df, pivot_window)
     if volume_windows:
         df = volume_z(df, volume_windows)
-    return df.join(rsi(bars, rsi_period), [KEY, ORDER], "left")
+    out = df.join(rsi(placed, rsi_period), [KEY, ORDER], "left")
+    return out if "pos" in bars.columns else out.drop("pos")
 
 
 def feature_names(momentum, vol, range_vol, channel, rsi_period: int, pivot_window: int = 0, volume_windows: tuple[int, ...] = ()) -> list[str]:

@@ -5,23 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import carried
+
 EPS = 2.220446049250313e-16
 METRICS = ("auc", "log_loss", "brier", "accuracy", "acc_lift_vs_prior", "mean_p_up", "realized_up_rate")
 
 
+#: Ranges of p that are counted first, so that no series of forecasts is ranked in one task.
+RANGES = 4096
+
+
+def auc(pred: DataFrame, keys: tuple[str, ...] = ("symbol", "model", "fold")) -> DataFrame:
+    """(keys, auc): chance that a positive has the higher p than a negative, ties counting half; null if there is one class.
+
+    Equal forecasts are counted together; then ranges of p hand on how many negatives lie below them, and only those inside a range are ordered."""
+    y = F.col("y")
+    ties = pred.groupBy(*keys, F.col("p_up").alias("_v")).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
+    ties = ties.withColumn("_b", F.floor(F.col("_v") * RANGES))
+    ties = carried(ties, {"_below": F.sum("_neg")}, lambda t, w: F.coalesce(F.sum(t).over(w), F.lit(0)), keys)
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    beaten = F.col("_below") + F.coalesce(F.sum("_neg").over(inside), F.lit(0)) + F.col("_neg") / 2
+    won = ties.withColumn("_won", F.col("_pos") * beaten).groupBy(*keys).agg(F.sum("_won").alias("_won"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    return won.select(*keys, F.try_divide(F.col("_won"), (F.col("_pos") * F.col("_neg")).cast("double")).alias("auc"))
+
+
 def fold_metrics(pred: DataFrame, keys: tuple[str, ...] = ("symbol", "model", "fold")) -> DataFrame:
-    """auc (ties count half; null if a fold has one class), log_loss, brier, accuracy, its lift over the best constant, mean p, rate."""
-    part = Window.partitionBy(*keys)
-    tie = Window.partitionBy(*keys, "p_up")
-    ranked = pred.withColumn("_rank", F.rank().over(part.orderBy("p_up")) + (F.count("*").over(tie) - 1) / 2)
+    """auc (null if a fold has one class), log_loss, brier, accuracy, its lift over the best constant, mean p, rate."""
     y, p = F.col("y"), F.col("p_up")
     clipped = F.greatest(F.least(p, F.lit(1 - EPS)), F.lit(EPS))
-    pos, n = F.sum(y), F.count("*")
-    neg = n - pos
-    auc = F.try_divide(F.sum(F.col("_rank") * y) - pos * (pos + 1) / 2, (pos * neg).cast("double"))
     accuracy, rate = F.avg(((p >= 0.5).cast("int") == y).cast("double")), F.avg(y.cast("double"))
-    return ranked.groupBy(*keys).agg(
-        auc.alias("auc"),
+    sums = pred.groupBy(*keys).agg(
         (-F.avg(F.when(y == 1, F.log(clipped)).otherwise(F.log(1 - clipped)))).alias("log_loss"),
         F.avg(F.pow(p - y, 2)).alias("brier"),
         accuracy.alias("accuracy"),
@@ -29,6 +42,7 @@ def fold_metrics(pred: DataFrame, keys: tuple[str, ...] = ("symbol", "model", "f
         F.avg(p).alias("mean_p_up"),
         rate.alias("realized_up_rate"),
     )
+    return auc(pred, keys).join(sums, list(keys))
 
 
 def over_folds(metrics: DataFrame, keys: tuple[str, ...] = ("symbol", "model"), names: tuple[str, ...] = METRICS) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEY, ORDER
+from ..functions.frames import KEY
+from .blocks import numbered
 
 
 def number_rows(df: DataFrame) -> DataFrame:
     """Adds pos (0-based place in the series) and n_rows."""
-    return df.withColumns({"pos": F.row_number().over(Window.partitionBy(KEY).orderBy(ORDER)).cast("long") - 1, "n_rows": F.count("*").over(Window.partitionBy(KEY))})
+    return numbered(df).join(df.groupBy(KEY).agg(F.count("*").alias("n_rows")), KEY)
 
 
 def check_folds(df: DataFrame, n_splits: int, test_size: int, min_train: int, purge: int) -> None:

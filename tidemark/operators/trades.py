@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEY, ORDER
 from .backtest import KEYS, equity_curve
+from .blocks import ROWS, numbered, with_halo
+from .chains import one_at_a_time
 
 YEAR_MS = 365 * 86_400_000
+#: Bars of time of a block of trades.
+BLOCK_BARS = 256
 
 
 def fixed_trades(pred: DataFrame, bar_ms: int, fee: float, band: float = 0.0, sided: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Trades that are held as long as their label says; signals while one is open are ignored.
 
-    Only rows that signal take part.  They are dealt by key and sorted, and each task streams through its keys with
-    the end of the open trade as its only state, so no series is ever held as a whole."""
+    Only rows that signal take part, in blocks of time; see `one_at_a_time`."""
     p = F.col("p_up")
     direction = F.when((p > 0.5 + band) & (F.col("side") != 0), F.col("side")) if sided else F.when(p > 0.5 + band, 1).when(p < 0.5 - band, -1)
     gross = F.col("ret_trade") if sided else F.col("_d") * F.col("ret_trade")
@@ -24,92 +26,46 @@ def fixed_trades(pred: DataFrame, bar_ms: int, fee: float, band: float = 0.0, si
     rows = signals.select(
         *keys, F.col(ORDER).cast("bigint").alias("entry_ts"), (F.col(ORDER) + F.col("holding_bars") * bar_ms).cast("bigint").alias("exit_ts"), F.col("_d").alias("direction"), F.col("holding_bars").cast("bigint").alias("holding_bars"), p.cast("double").alias("p_up"), gross.cast("double").alias("ret_gross"), (gross - 2 * fee).cast("double").alias("ret_net")
     )
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "entry_ts", "exit_ts", "direction", "holding_bars", "p_up", "ret_gross")
-
-    def free(batches):
-        series, busy = None, None
-        for batch in batches:
-            taken = []
-            for *key, entry, leave in zip(*(batch.column(k).to_pylist() for k in (*keys, "entry_ts", "exit_ts")), strict=True):
-                if key != series:
-                    series, busy = key, None
-                taken.append(busy is None or entry >= busy)
-                if taken[-1]:
-                    busy = leave
-            yield batch.filter(pa.array(taken, pa.bool_()))
-
-    return dealt.mapInArrow(free, rows.schema)
-
-
-TRAILING = "entry_ts long, exit_ts long, direction long, holding_bars long, p_up double, entry_price double, exit_price double, exit_reason string, n_updates long, ret_gross double, ret_net double"
-
-
-class TrailingPosition:
-    """An open position whose barriers only ever move in its favour."""
-
-    def __init__(self, side: int, ts: int, p: float, price: float, deadline: int):
-        self.side, self.ts, self.p, self.price, self.deadline = side, ts, p, price, deadline
-        self.target = self.stop = float("-inf")  # in units of side * price
-        self.updates = -1
-
-    def signal(self, price: float, sigma: float, up: float, down: float) -> None:
-        """Barriers from this price, kept where they are better."""
-        self.target = max(self.target, self.side * price * (1 + self.side * up * sigma))
-        self.stop = max(self.stop, self.side * price * (1 - self.side * down * sigma))
-        self.updates += 1
-
-    def leaves(self, ts: int, high: float, low: float, close: float) -> tuple[float, str] | None:
-        """Price and reason of leaving on a bar: stop first, then target, then time."""
-        worst, best = (low, high) if self.side > 0 else (-high, -low)
-        if worst <= self.stop:
-            return self.side * self.stop, "sl"
-        if best >= self.target:
-            return self.side * self.target, "tp"
-        return (close, "vertical") if ts >= self.deadline else None
-
-
-def trailing_path(rows, bar_ms: int, fee: float, up: float, down: float, max_holding: int, band: float = 0.0) -> list[tuple]:
-    """Trades of one series of (timestamp, p_up, side, high, low, close, sigma) rows in time order."""
-    out, held = [], None
-    for ts, p, side, high, low, close, sigma in rows:
-        signal = p > 0.5 + band and side in (1, -1) and sigma is not None and 0 < sigma < float("inf")
-        if held:
-            left = held.leaves(ts, high, low, close)
-            if not left:
-                if signal and side == held.side:
-                    held.signal(close, sigma, up, down)
-                continue
-            price, reason = left
-            gross = held.side * (price / held.price - 1)
-            out.append((held.ts, ts, held.side, max(1, (ts - held.ts) // bar_ms), held.p, held.price, price, reason, held.updates, gross, gross - 2 * fee))
-            held = None
-        if signal:
-            held = TrailingPosition(int(side), ts, p, close, ts + max_holding * bar_ms)
-            held.signal(close, sigma, up, down)
-    return out
-
-
-def trailing_trades(pred: DataFrame, bar_ms: int, fee: float, up: float, down: float, max_holding: int, band: float = 0.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Trades with trailing barriers: a new signal in a position's direction ratchets both.  Positions still open at the end are dropped.
-
-    Sequential by nature: each key is one group of bars, which is bounded by its time range."""
-    columns = [ORDER, "p_up", "side", "high", "low", "close", "sigma"]
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(ORDER)
-        rows = pdf[columns].itertuples(index=False, name=None)
-        found = trailing_path(rows, bar_ms, fee, up, down, max_holding, band)
-        names = [x.split()[0] for x in TRAILING.split(", ")]
-        res = pd.DataFrame(found, columns=names)
-        for k in reversed(keys):
-            res.insert(0, k, pdf[k].iloc[0])
-        return res
-
-    kinds = {f.name: f.dataType.simpleString() for f in pred.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), TRAILING])
-    return pred.select(*keys, *columns).groupBy(*keys).applyInPandas(run, schema)
+    return one_at_a_time(rows, keys, BLOCK_BARS * bar_ms)
+
+
+def trailing_trades(pred: DataFrame, bar_ms: int, fee: float, up: float, down: float, max_holding: int, band: float = 0.0, keys: tuple[str, ...] = KEYS, rows: int = ROWS) -> DataFrame:
+    """Trades with trailing barriers: a new signal in a position's direction moves target and stop where they are better for it, the stop
+    is looked at first, then the target, then the time.  Positions still open at the end are dropped.
+
+    What would become of a position depends on where it begins only, and is settled within max_holding bars: blocks of rows, with so many more
+    behind them, follow all positions that could begin in them.  Then one at a time is taken, block by block too."""
+    d = F.when((F.col("p_up") > 0.5 + band) & F.col("side").isin(1, -1) & (F.col("sigma") > 0) & (F.col("sigma") < float("inf")), F.col("side").cast("bigint"))
+    # barriers and prices in units of side * price: higher is better for either side
+    level = lambda way: d * F.col("close") * (1 + d * way * F.col("sigma"))
+    bars = pred.select(*keys, F.col(ORDER).cast("bigint").alias("ts"), d.alias("d"), "p_up", "high", "low", "close", level(up).alias("target"), level(-down).alias("stop"))
+    spread = with_halo(numbered(bars, keys, "ts"), 0, max_holding, max(rows, max_holding))
+    line = spread.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct("ts", F.col("_own").alias("own"), "d", "p_up", "high", "low", "close", "target", "stop"))).alias("bars"))
+    reason = "case when if(a.d > 0, b.low, -b.high) <= a.stop then 'sl' when if(a.d > 0, b.high, -b.low) >= a.target then 'tp' when b.ts >= a.deadline then 'vertical' end"
+    price = "case reason when 'sl' then a.d * a.stop when 'tp' then a.d * a.target else b.close end"
+    left = f"transform(array({reason}), reason -> named_struct('exit_ts', if(reason is null, null, b.ts), 'exit_price', if(reason is null, null, {price}), 'exit_reason', reason))[0]"
+    held = "named_struct('d', a.d, 'deadline', a.deadline, 'target', {}, 'stop', {}, 'n_updates', {}, 'exit', {})"
+    better = "if(x.exit_reason is null and b.d = a.d, greatest(a.{0}, b.{0}), a.{0})"
+    step = f"if(a.exit.exit_reason is not null, a, transform(array({left}), x -> {held.format(better.format('target'), better.format('stop'), 'a.n_updates + if(x.exit_reason is null and b.d = a.d, 1L, 0L)', 'x')})[0])"
+    begun = f"named_struct('d', s.d, 'deadline', s.ts + {max_holding * bar_ms}L, 'target', s.target, 'stop', s.stop, 'n_updates', 0L, 'exit', named_struct('exit_ts', cast(null as bigint), 'exit_price', cast(null as double), 'exit_reason', cast(null as string)))"
+    fate = f"transform(filter(transform(bars, (s, i) -> named_struct('s', s, 'i', i)), x -> x.s.own and x.s.d is not null), x -> transform(array(x.s), s -> named_struct('s', s, 'p', aggregate(slice(bars, x.i + 2, {max_holding}), {begun}, (a, b) -> {step})))[0])"
+    found = line.select(*keys, F.explode(F.expr(fate)).alias("t"))
+    could = found.select(
+        *keys,
+        F.col("t.s.ts").alias("entry_ts"),
+        # one that is still open at the end holds until its deadline, which lies behind it
+        F.coalesce("t.p.exit.exit_ts", "t.p.deadline").alias("exit_ts"),
+        F.col("t.s.d").alias("direction"),
+        F.col("t.s.p_up").cast("double").alias("p_up"),
+        F.col("t.s.close").cast("double").alias("entry_price"),
+        F.col("t.p.exit.exit_price").alias("exit_price"),
+        F.col("t.p.exit.exit_reason").alias("exit_reason"),
+        F.col("t.p.n_updates").alias("n_updates"),
+    )
+    taken = one_at_a_time(could, keys, BLOCK_BARS * bar_ms).where("exit_reason is not null")
+    gross = F.col("direction") * (F.col("exit_price") / F.col("entry_price") - 1)
+    holding = F.greatest(F.lit(1), F.expr(f"(exit_ts - entry_ts) div {bar_ms}L"))
+    return taken.select(*keys, "entry_ts", "exit_ts", "direction", holding.cast("bigint").alias("holding_bars"), "p_up", "entry_price", "exit_price", "exit_reason", "n_updates", gross.alias("ret_gross"), (gross - 2 * fee).alias("ret_net"))
 
 
 def with_bars(pred: DataFrame, bars: DataFrame) -> DataFrame:
@@ -119,8 +75,7 @@ def with_bars(pred: DataFrame, bars: DataFrame) -> DataFrame:
 
 def trade_equity(trades: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds trade_no (1-based), equity and drawdown trade by trade."""
-    numbered = trades.withColumn("trade_no", F.row_number().over(Window.partitionBy(*keys).orderBy("entry_ts")).cast("long"))
-    return equity_curve(numbered, "ret_net", keys, "entry_ts")
+    return equity_curve(numbered(trades, keys, "entry_ts").withColumn("pos", F.col("pos") + 1).withColumnRenamed("pos", "trade_no"), "ret_net", keys, "entry_ts")
 
 
 def trade_metrics(trades: DataFrame, pred: DataFrame, bar_ms: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -171,7 +126,7 @@ def losers(trades: DataFrame) -> DataFrame:
 
 def nth_trade(trades: DataFrame, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The n-th trade of each key, counted from 1."""
-    return trades.withColumn("trade_no", F.row_number().over(Window.partitionBy(*keys).orderBy("entry_ts"))).where(F.col("trade_no") == n).drop("trade_no")
+    return numbered(trades, keys, "entry_ts").where(F.col("pos") == n - 1).drop("pos")
 
 
 def around_trades(trades: DataFrame, bars: DataFrame, bar_ms: int, before: int = 25, after: int = 10, keys: tuple[str, ...] = KEYS) -> DataFrame:

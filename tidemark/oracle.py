@@ -69,16 +69,19 @@ tb as (select * exclude (ok, at_bottom), case when ok then {side} * (case when h
 
 
 #: Naive forecasts by joining each test row with its fold's training rows.
-FORECASTS = """smp as (select f.*, lead(close) over (partition by symbol order by timestamp) as nx, rsi_14 from feat f left join rsi using (symbol, timestamp)),
+SAMPLES = """smp as (select f.*, lead(close) over (partition by symbol order by timestamp) as nx, rsi_14 from feat f left join rsi using (symbol, timestamp)),
 s1 as (select *, case when nx is not null then cast(nx > close as bigint) end as y, nx / close - 1 as ret_next from smp),
 s2 as (select *, row_number() over (partition by symbol order by timestamp) - 1 as pos, count(*) over (partition by symbol) as total from s1
   where y is not null and ret_1 is not null and ret_3 is not null and ret_6 is not null and vol_6 is not null and vol_12 is not null and vol_ratio_6_12 is not null and parkinson_6 is not null
-  and garman_klass_6 is not null and dist_high_6 is not null and dist_high_12 is not null and gap is not null and rsi_14 is not null),
-fd as (select symbol, any_value(total) as total, unnest([0::bigint, 1, 2]) as fold from s2 group by symbol),
+  and garman_klass_6 is not null and dist_high_6 is not null and dist_high_12 is not null and gap is not null and rsi_14 is not null),"""
+
+#: From samples in s2 to forecasts.
+FOLDS = """fd as (select symbol, any_value(total) as total, unnest([0::bigint, 1, 2]) as fold from s2 group by symbol),
 rt as (select fd.symbol, fd.fold, any_value(fd.total) - (3 - fd.fold) * 24 as t0, avg(y) as prior, coalesce(avg(case when ret_1 > 0 then y end), 0.5) as up, coalesce(avg(case when not ret_1 > 0 then y end), 0.5) as down
   from fd left join s2 on s2.symbol = fd.symbol and s2.pos < fd.total - (3 - fd.fold) * 24 - 6 group by fd.symbol, fd.fold),
 te as (select s2.*, rt.fold, prior, up, down from s2 join rt on rt.symbol = s2.symbol and s2.pos >= rt.t0 and s2.pos < rt.t0 + 24),
 pred as (select *, 'prior' as model, prior as p_up from te union all select *, 'momentum_sign' as model, case when ret_1 > 0 then up else down end as p_up from te)"""
+FORECASTS = f"{SAMPLES}\n{FOLDS}"
 
 PRED = f"{BASE}, {RET}, {RSI}, {FEATURES}, {FORECASTS}"
 
@@ -97,3 +100,27 @@ tr as (select s.*, 1 as holding_bars, ret_gross - 0.002 as ret_net from sig s jo
 tn as (select *, row_number() over (partition by symbol, model order by entry_ts) as trade_no from tr),
 te2 as (select *, product(1 + ret_net) over (partition by symbol, model order by entry_ts rows between unbounded preceding and current row) as equity from tn),
 tq as (select *, equity / nullif(max(equity) over (partition by symbol, model order by entry_ts rows between unbounded preceding and current row), 0) - 1 as drawdown from te2)"""
+
+#: Forecasts of whether the momentum side wins against its barriers.
+META_PRED = f"""{BASE}, {RET}, {RSI}, {SIGMA}, {FEATURES},
+lb as (select f.*, sigma, rsi_14, nullif(sign(ln(close / lag(close, 6) over (partition by f.symbol order by f.timestamp))), 0) as side from feat f left join sg using (symbol, timestamp) left join rsi using (symbol, timestamp)),
+{barrier(True)},
+s2 as (select * exclude (total) replace (side::bigint as side), label as y, ret_trade as ret_next, row_number() over (partition by symbol order by timestamp) - 1 as pos, count(*) over (partition by symbol) as total from tb
+  where label is not null and side is not null and ret_1 is not null and ret_3 is not null and ret_6 is not null and vol_6 is not null and vol_12 is not null and vol_ratio_6_12 is not null and parkinson_6 is not null
+  and garman_klass_6 is not null and dist_high_6 is not null and dist_high_12 is not null and gap is not null and rsi_14 is not null),
+{FOLDS}"""
+
+#: Trailing barriers by a walk over each series' bars, with the open position as its state.
+TRAILING = f"""pb0 as (select symbol, model, timestamp as ts, high, low, close, p_up + 0.4 as p, row_number() over (partition by symbol, model order by timestamp) as i, sigma,
+  case when p_up + 0.4 > 0.5 and side in (1, -1) and sigma > 0 then side end as d from pred),
+pb as (select *, d * close * (1 + d * 1.5 * sigma) as tg, d * close * (1 - d * 1.0 * sigma) as st from pb0),
+wk as (select distinct symbol, model, 0::bigint as i, null::bigint as hd, null::bigint as hts, null::double as hp, null::double as hprice, null::double as htg, null::double as hst, 0::bigint as hn,
+    null::varchar as rs, null::bigint as xd, null::bigint as xts, null::double as xp, null::double as xprice, 0::bigint as xn, null::bigint as out_ts, null::double as out_price from pb
+  union all select symbol, model, bi, case when opens then d else hd end, case when opens then case when d is not null then ts end else hts end, case when opens then p else hp end, case when opens then close else hprice end,
+    case when opens then tg when d = hd then greatest(htg, tg) else htg end, case when opens then st when d = hd then greatest(hst, st) else hst end, case when opens then 0 when d = hd then hn + 1 else hn end,
+    why, hd, hts, hp, hprice, hn, ts, case why when 'sl' then hd * hst when 'tp' then hd * htg else close end
+  from (select *, hd is null or why is not null as opens from (select w.symbol, w.model, b.i as bi, w.hd, w.hts, w.hp, w.hprice, w.htg, w.hst, w.hn, b.ts, b.close, b.p, b.d, b.tg, b.st,
+    case when w.hd is null then null when (case when w.hd > 0 then b.low else -b.high end) <= w.hst then 'sl' when (case when w.hd > 0 then b.high else -b.low end) >= w.htg then 'tp' when b.ts >= w.hts + 6 * {HOUR} then 'vertical' end as why
+    from wk w join pb b on b.symbol = w.symbol and b.model = w.model and b.i = w.i + 1))),
+tt as (select symbol, model, xts as entry_ts, out_ts as exit_ts, xd as direction, greatest(1, (out_ts - xts) // {HOUR}) as holding_bars, xp as p_up, xprice as entry_price, out_price as exit_price, rs as exit_reason, xn as n_updates,
+  xd * (out_price / xprice - 1) as ret_gross, xd * (out_price / xprice - 1) - 0.002 as ret_net from wk where rs is not null)"""

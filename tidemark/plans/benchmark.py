@@ -46,6 +46,8 @@ def report(pred: DataFrame, s: Settings, samples_: DataFrame | None = None) -> d
     bars = pred.withColumns({"p_up": backtest.sided_probability(F.col("p_up"), F.col("side")), "ret_next": F.col("side") * F.col("ret_next")}) if sided else pred
     folds = scoring.fold_metrics(pred)
     if s.policy == "trailing":
+        if samples_ is None:
+            raise ValueError("trailing trades need samples_, which hold highs and lows")
         taken = trades.trailing_trades(trades.with_bars(pred, samples_), bar, s.fee, s.target.pt_mult, s.target.sl_mult, s.target.max_holding, s.band)
     else:
         taken = trades.fixed_trades(pred.withColumn("ret_trade", F.col("ret_next")), bar, s.fee, s.band, sided)
@@ -54,7 +56,7 @@ def report(pred: DataFrame, s: Settings, samples_: DataFrame | None = None) -> d
         "aggregate": scoring.over_folds(folds),
         "calibration": scoring.calibration(pred),
         "fold_backtest": backtest.backtest_metrics(bars, s.fee, s.bars_per_year, s.band, ("symbol", "model", "fold")),
-        "pooled_backtest": backtest.backtest_metrics(bars.unionByName(backtest.buy_and_hold(bars)), s.fee, s.bars_per_year, s.band),
+        "pooled_backtest": backtest.comparison(bars.unionByName(backtest.buy_and_hold(bars)), s.fee, s.bars_per_year, s.band),
         "trades": taken,
         "trade_backtest": trades.trade_metrics(taken, pred, bar),
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeframes import timeframe_ms
-from ..operators import candles, features, labels, models
+from ..operators import blocks, candles, features, labels, models
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ def load(path: str | None = None) -> Settings:
 def samples(candle_rows: DataFrame, s: Settings) -> DataFrame:
     """Distinct candles -> bars with features, y, ret_next, holding_bars, side and sigma; rows without a value in any
     feature or the target are left out."""
-    bars = candles.to_bars(candle_rows, s.timeframe, s.min_candles)
+    bars = blocks.numbered(candles.to_bars(candle_rows, s.timeframe, s.min_candles))
     df = features.all_features(bars, **s.features.args())
     names = features.feature_names(**s.features.args())
     if s.target.kind == "next_bar":
@@ -119,7 +119,7 @@ def samples(candle_rows: DataFrame, s: Settings) -> DataFrame:
             df = df.withColumn("side", F.lit(1).cast("long"))
         df = labels.triple_barrier(df, s.target.pt_mult, s.target.sl_mult, s.target.max_holding, sided)
         df = df.withColumnsRenamed({"label": "y", "ret_trade": "ret_next"})
-    return df.dropna(subset=[*names, "y"])
+    return df.dropna(subset=[*names, "y"]).drop("pos")
 
 
 def naive_forecasts(candle_rows: DataFrame, s: Settings) -> DataFrame:

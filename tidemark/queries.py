@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as o
-from .functions.timeframes import date_ms, month_range
+from .functions.steps import pinned
+from .functions.timeframes import date_ms, month_rows
 from .operators import backtest, candles, features, labels, models, scoring, splits, trades
 from .plans import dataset
 from .sources.ticks import ticks
@@ -47,13 +48,23 @@ def _bars(spark: SparkSession, d: str, tf: str = "1h") -> DataFrame:
     return candles.to_bars(_candles(spark, d), tf)
 
 
+#: Rows of a block in the queries of features and labels: few, so that results cross many of them.
+ROWS = 64
+
+
+def _samples(spark: SparkSession, d: str, s: dataset.Settings = SETTINGS) -> DataFrame:
+    """Computed once for the steps that read them."""
+    return pinned(dataset.samples(_candles(spark, d), s))
+
+
 def _pred(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.naive_forecasts(_candles(spark, d), SETTINGS)
+    s = SETTINGS
+    return pinned(models.naive_predictions(_samples(spark, d), s.n_splits, s.test_size, s.purge))
 
 
 def _trades(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pred = _pred(spark, d).withColumn("ret_trade", F.col("ret_next"))
-    return trades.fixed_trades(pred, HOUR, SETTINGS.fee), pred
+    return pinned(trades.fixed_trades(pred, HOUR, SETTINGS.fee)), pred
 
 
 #: The test tables' returns are huge, so equity is compared on a signed logarithmic scale.
@@ -171,9 +182,9 @@ def month_completeness(spark: SparkSession, d: str) -> DataFrame:
     return candles.month_completeness(ticks(spark, d), "15m")
 
 
-@query("select cast(year(m) as int) as year, cast(month(m) as int) as month from (select unnest(range(date '2019-11-01', date '2020-03-02', interval 1 month)) as m)")
+@query("with e as (select o_orderpriority, o_orderstatus, min(o_orderdate) as a, max(o_orderdate) as b from orders group by all), m as (select o_orderpriority, o_orderstatus, unnest(range(date_trunc('month', a)::timestamp, date_trunc('month', b)::timestamp + interval 1 day, interval 1 month)) as m from e) select o_orderpriority, o_orderstatus, cast(year(m) as int) as year, cast(month(m) as int) as month from m")
 def month_partitions(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(month_range(date(2019, 11, 17), date(2020, 3, 2)), "year int, month int")
+    return month_rows(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate", "o_orderpriority", "o_orderstatus")
 
 
 @query(f"with {o.TICKS} select distinct symbol from ticks")
@@ -185,12 +196,12 @@ def distinct_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{o.BASE}, {o.RET}, {o.FEATURES} select symbol, timestamp, {o.rounded(o.FEATURE_COLUMNS)} from feat")
 def price_features(spark: SparkSession, d: str) -> DataFrame:
-    return pick(features.price_features(_bars(spark, d), (3, 6), (6, 12), (6,), (6, 12)), "symbol, timestamp", o.FEATURE_COLUMNS)
+    return pick(features.price_features(_bars(spark, d), (3, 6), (6, 12), (6,), (6, 12), ROWS), "symbol, timestamp", o.FEATURE_COLUMNS)
 
 
 @query(f"{o.BASE}, {o.RSI} select symbol, timestamp, {o.rounded('rsi_14')} from rsi")
 def rsi_wilder(spark: SparkSession, d: str) -> DataFrame:
-    return pick(features.rsi(_bars(spark, d), 14), "symbol, timestamp", "rsi_14")
+    return pick(features.rsi(_bars(spark, d), 14, ROWS), "symbol, timestamp", "rsi_14")
 
 
 @query(
@@ -202,7 +213,7 @@ ll as (select n.symbol, n.k, arg_max(p.v, p.known) as v from n join pl p on p.sy
 select n.symbol, timestamp, round(hh.v / close - 1, 8) as pivot_high_dist_2, round(ll.v / close - 1, 8) as pivot_low_dist_2 from n left join hh using (symbol, k) left join ll using (symbol, k)"""
 )
 def pivot_distances(spark: SparkSession, d: str) -> DataFrame:
-    return pick(features.pivots(_bars(spark, d), 2), "symbol, timestamp", "pivot_high_dist_2, pivot_low_dist_2")
+    return pick(features.pivots(_bars(spark, d), 2, ROWS), "symbol, timestamp", "pivot_high_dist_2, pivot_low_dist_2")
 
 
 @query(f"{o.BASE}, c as (select symbol, timestamp, (timestamp // 3600000) % 24 as h, (timestamp // 86400000 + 4) % 7 as w from bars) select symbol, timestamp, round(sin(2 * pi() * h / 24), 8) + 0.0 as hour_sin, round(cos(2 * pi() * h / 24), 8) + 0.0 as hour_cos, round(sin(2 * pi() * w / 7), 8) + 0.0 as dow_sin, round(cos(2 * pi() * w / 7), 8) + 0.0 as dow_cos from c")
@@ -212,36 +223,36 @@ def calendar_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{o.BASE}, x as (select *, ln(1 + volume) as lv from bars), z as (select *, {o.rolling('m', 'avg', 'lv', 5, 1)}, {o.rolling('s', 'stddev_samp', 'lv', 5, 1)} from x) select symbol, timestamp, round((lv - m) / nullif(s, 0), 8) as volume_z_6 from z")
 def volume_z_scores(spark: SparkSession, d: str) -> DataFrame:
-    return pick(features.volume_z(_bars(spark, d), (6,)), "symbol, timestamp", "volume_z_6")
+    return pick(features.volume_z(_bars(spark, d), (6,), ROWS), "symbol, timestamp", "volume_z_6")
 
 
 # labels
 
 @query(f"{o.BASE}, n as (select *, lead(close) over (partition by symbol order by timestamp) as nx from bars) select symbol, timestamp, case when nx is not null then cast(nx > close as bigint) end as y, round(nx / close - 1, 8) as ret_next from n")
 def next_bar_target(spark: SparkSession, d: str) -> DataFrame:
-    return pick(labels.next_bar(_bars(spark, d)), "symbol, timestamp, y", "ret_next")
+    return pick(labels.next_bar(_bars(spark, d), ROWS), "symbol, timestamp, y", "ret_next")
 
 
 @query(f"{o.BASE}, {o.RET}, {o.SIGMA} select b.symbol, b.timestamp, {o.rounded('sigma')} from bars b left join sg using (symbol, timestamp)")
 def ewma_volatility(spark: SparkSession, d: str) -> DataFrame:
-    return pick(labels.ewma_volatility(_bars(spark, d), 12), "symbol, timestamp", "sigma")
+    return pick(labels.ewma_volatility(_bars(spark, d), 12, ROWS), "symbol, timestamp", "sigma")
 
 
 @query(f"{o.BASE} select symbol, timestamp, cast(sign(ln(close / lag(close, 6) over (partition by symbol order by timestamp))) as bigint) as side from bars")
 def momentum_side(spark: SparkSession, d: str) -> DataFrame:
-    return pick(labels.momentum_side(_bars(spark, d), 6), "symbol, timestamp, side")
+    return pick(labels.momentum_side(_bars(spark, d), 6, ROWS), "symbol, timestamp, side")
 
 
 @query(f"{o.BASE}, {o.RET}, {o.SIGMA}, lb as (select b.*, sigma from bars b left join sg using (symbol, timestamp)), {o.barrier(False)} select symbol, timestamp, label, holding_bars, round(ret_trade, 8) as ret_trade from tb")
 def triple_barrier(spark: SparkSession, d: str) -> DataFrame:
-    df = labels.triple_barrier(labels.ewma_volatility(_bars(spark, d), 12), 1.0, 1.0, 6)
+    df = labels.triple_barrier(labels.ewma_volatility(_bars(spark, d), 12), 1.0, 1.0, 6, rows=ROWS)
     return pick(df, "symbol, timestamp, label, holding_bars", "ret_trade")
 
 
 @query(f"{o.BASE}, {o.RET}, {o.SIGMA}, lb as (select b.*, sigma, sign(ln(close / lag(close, 6) over (partition by symbol order by timestamp))) as side from bars b left join sg using (symbol, timestamp)), {o.barrier(True, 'lb', 1.5, 0.5)} select symbol, timestamp, label, holding_bars, round(ret_trade, 8) as ret_trade from tb")
 def triple_barrier_sided(spark: SparkSession, d: str) -> DataFrame:
     df = labels.momentum_side(labels.ewma_volatility(_bars(spark, d), 12), 6)
-    return pick(labels.triple_barrier(df, 1.5, 0.5, 6, sided=True), "symbol, timestamp, label, holding_bars", "ret_trade")
+    return pick(labels.triple_barrier(df, 1.5, 0.5, 6, sided=True, rows=ROWS), "symbol, timestamp, label, holding_bars", "ret_trade")
 
 
 @query(f"{o.BASE}, {o.RET}, {o.SIGMA}, {o.RSI}, {o.FEATURES}, lb as (select f.*, sigma, rsi_14 from feat f left join sg using (symbol, timestamp) left join rsi using (symbol, timestamp)), {o.barrier(False)}, ok as (select * from tb where label is not null and gap is not null and vol_ratio_6_12 is not null and garman_klass_6 is not null and dist_high_12 is not null and rsi_14 is not null) select symbol, count(*) as n_samples, cast(20 as bigint) as n_features, min(timestamp) as start, max(timestamp) as \"end\", round(avg(label), 8) as up_rate, round(avg(holding_bars), 8) as mean_holding, round(avg(case when holding_bars = 6 then 1 else 0 end), 8) as vertical_share from ok group by symbol")
@@ -254,12 +265,12 @@ def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{o.PRED} select symbol, timestamp, fold from te")
 def walk_forward_test_rows(spark: SparkSession, d: str) -> DataFrame:
-    return splits.test_rows(dataset.samples(_candles(spark, d), SETTINGS), 3, 24).select("symbol", "timestamp", "fold")
+    return splits.test_rows(_samples(spark, d), 3, 24).select("symbol", "timestamp", "fold")
 
 
 @query(f"{o.PRED} select fd.symbol, fd.fold, count(*) filter (pos < fd.total - (3 - fd.fold) * 24 - 6) as n_train, count(*) filter (pos >= fd.total - (3 - fd.fold) * 24 and pos < fd.total - (2 - fd.fold) * 24) as n_test from fd join s2 using (symbol) group by all")
 def walk_forward_roles(spark: SparkSession, d: str) -> DataFrame:
-    roles = splits.assign(dataset.samples(_candles(spark, d), SETTINGS), 3, 24, 6)
+    roles = splits.assign(_samples(spark, d), 3, 24, 6)
     return roles.groupBy("symbol", "fold").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
 
 
@@ -316,13 +327,16 @@ def backtest_metrics(spark: SparkSession, d: str) -> DataFrame:
     return pick(backtest.backtest_metrics(_pred(spark, d), 0.001, _BPY), "symbol, model", ", ".join(backtest.METRICS), 6)
 
 
+_AUC_SQL = """both as (select symbol, model, y, p_up from pred union all select symbol, model, y, p_up from hold),
+ac as (select symbol, model, avg(case when (p_up >= 0.5) = (y = 1) then 1.0 else 0.0 end) as accuracy, case when count(distinct p_up) > 1 then (select sum(case when a.p_up > b.p_up then 1.0 when a.p_up = b.p_up then 0.5 else 0.0 end) / nullif(count(*), 0) from both a, both b
+  where a.symbol = x.symbol and a.model = x.model and b.symbol = x.symbol and b.model = x.model and a.y = 1 and b.y = 0) end as auc from both x group by symbol, model)"""
 _HOLD = "hold as (select p.* replace ('buy_and_hold' as model, 1.0::double as p_up) from pred p where model = 'momentum_sign')"
 
 
-@query(f"{o.PRED}, {_HOLD}, {o.STRATEGY.replace('from pred)', 'from (select * from pred union all select * from hold))')}, {_METRICS_SQL} select symbol, model, {o.rounded(', '.join(backtest.METRICS), 6)} from bm")
+@query(f"{o.PRED}, {_HOLD}, {o.STRATEGY.replace('from pred)', 'from (select * from pred union all select * from hold))')}, {_METRICS_SQL}, {_AUC_SQL} select symbol, model, {o.rounded(', '.join(backtest.METRICS) + ', auc, accuracy', 6)} from bm join ac using (symbol, model)")
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     pred = _pred(spark, d)
-    return pick(backtest.backtest_metrics(pred.unionByName(backtest.buy_and_hold(pred)), 0.001, _BPY), "symbol, model", ", ".join(backtest.METRICS), 6)
+    return pick(backtest.comparison(pred.unionByName(backtest.buy_and_hold(pred)), 0.001, _BPY), "symbol, model", ", ".join((*backtest.METRICS, "auc", "accuracy")), 6)
 
 
 @query(
@@ -333,9 +347,9 @@ def return_distribution(spark: SparkSession, d: str) -> DataFrame:
     return pick(backtest.return_stats(backtest.strategy_returns(_pred(spark, d), 0.001)), "symbol, model", "skewness, excess_kurtosis, q05, least, largest", 6)
 
 
-@query(f"{o.PRED}, {o.STRATEGY}, e as (select symbol, model, min(net) as lo, max(net) as hi from st group by symbol, model) select symbol, model, cast(coalesce(least(floor((net - lo) * 20 / nullif(hi - lo, 0)), 19), 0) as bigint) as bin, count(*) as count from st join e using (symbol, model) group by all")
+@query(f"{o.PRED}, {o.STRATEGY}, e as (select symbol, model, min(net) as lo, max(net) as hi from st group by symbol, model) select symbol, model, cast(coalesce(least(floor((net - lo) * 120 / nullif(hi - lo, 0)), 119), 0) as bigint) as bin, count(*) as count from st join e using (symbol, model) group by all")
 def return_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.histogram(backtest.strategy_returns(_pred(spark, d), 0.001), bins=20)
+    return backtest.histogram(backtest.strategy_returns(_pred(spark, d), 0.001), bins=120)
 
 
 @query(f"{o.BASE}, {o.RET} select symbol, timestamp, round(0.5 + sign(ret_1) * greatest(1 / (1 + abs(ret_1)) - 0.5, 0), 8) as p_up from r where ret_1 is not null")
@@ -362,13 +376,13 @@ def trade_equity(spark: SparkSession, d: str) -> DataFrame:
     f"""{o.PRED}, {o.TRADES}, sp as (select symbol, model, (max(timestamp) - min(timestamp) + {HOUR}) as el from pred group by symbol, model),
 m as (select symbol, model, count(*) as n, avg(case when ret_net > 0 then 1.0 else 0.0 end) as win_rate, avg(ret_net) as avg_ret_net, stddev_samp(ret_net) as sd, arg_max(equity, trade_no) as eq, min(drawdown) as mdd, sum(holding_bars) as hb, avg(holding_bars) as ah from tq group by symbol, model)
 select symbol, model, cast(coalesce(n, 0) as double) as n_trades, round(win_rate, 6) as win_rate, round(avg_ret_net, 6) as avg_ret_net, round(avg_ret_net / nullif(sd, 0) * sqrt(n / (el / 31536000000.0)), 6) as sharpe_net, round(coalesce(mdd, 0), 6) as max_drawdown_net,
-  round(coalesce(hb * {HOUR} / el, 0), 6) as exposure, round(ah, 6) as avg_holding_bars, round(coalesce(n, 0) / (el / 31536000000.0), 6) as trades_per_year, round(case when coalesce(n, 0) = 0 then 0 when eq > 0 then exp(least(ln(eq) / (el / 31536000000.0), ln(1001))) - 1 end, 5) + 0.0 as ann_return_net from sp left join m using (symbol, model)"""
+  round(coalesce(hb * {HOUR} / el, 0), 6) as exposure, round(ah, 6) as avg_holding_bars, round(coalesce(n, 0) / (el / 31536000000.0), 6) as trades_per_year, round(case when coalesce(n, 0) = 0 then 0 when eq > 0 then log10(pow(eq, 1 / (el / 31536000000.0))) end, 6) + 0.0 as log_ann_growth from sp left join m using (symbol, model)"""
 )
 def trade_metrics(spark: SparkSession, d: str) -> DataFrame:
     t, pred = _trades(spark, d)
-    # a few days' gain, taken to a year, can be a huge number: it is compared up to 1000
-    out = trades.trade_metrics(t, pred, HOUR).withColumn("ann_return_net", F.round(F.when(F.col("ann_return_net") > 1000, 1000.0).otherwise(F.col("ann_return_net")), 5) + F.lit(0.0))
-    return pick(out, "symbol, model, n_trades, ann_return_net", "win_rate, avg_ret_net, sharpe_net, max_drawdown_net, exposure, avg_holding_bars, trades_per_year", 6)
+    # a few days' gain, taken to a year, can be a huge number: it is compared by its logarithm
+    out = trades.trade_metrics(t, pred, HOUR).withColumn("log_ann_growth", F.log10(1 + F.col("ann_return_net")))
+    return pick(out, "symbol, model, n_trades", "log_ann_growth, win_rate, avg_ret_net, sharpe_net, max_drawdown_net, exposure, avg_holding_bars, trades_per_year", 6)
 
 
 @query(f"{o.PRED}, {o.TRADES} select symbol, model, entry_ts, round(close, 6) as entry_price, round(close * (1 + direction * ret_gross), 6) as exit_price from tr")
@@ -401,11 +415,11 @@ def top_contributions(spark: SparkSession, d: str) -> DataFrame:
     return pick(trades.top_contributions(df, names, 3), "symbol, timestamp, feature, place", "value")
 
 
-@query()
+@query(f"{o.META_PRED}, {o.TRAILING} select symbol, model, entry_ts, exit_ts, direction, holding_bars, exit_reason, n_updates, {o.rounded('p_up, entry_price, exit_price, ret_gross, ret_net', 6)} from tt")
 def trailing_trades(spark: SparkSession, d: str) -> DataFrame:
-    df = dataset.samples(_candles(spark, d), META)
-    pred = models.naive_predictions(df, 3, 24, 6).where("side is not null")
-    return trades.trailing_trades(pred.withColumn("p_up", F.col("p_up") + 0.4), HOUR, 0.001, 1.5, 1.0, 6)
+    pred = pinned(models.naive_predictions(_samples(spark, d, META), 3, 24, 6).withColumn("p_up", F.col("p_up") + 0.4))
+    out = trades.trailing_trades(pred, HOUR, 0.001, 1.5, 1.0, 6, rows=16)
+    return pick(out, "symbol, model, entry_ts, exit_ts, direction, holding_bars, exit_reason, n_updates", "p_up, entry_price, exit_price, ret_gross, ret_net", 6)
 
 
 def _fitted(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame, list[str]]:
