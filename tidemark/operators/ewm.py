@@ -20,9 +20,9 @@ NEAR = 1e-4
 
 
 def decayed_sums(df: DataFrame, columns: dict[str, Column], q: float, keys: tuple[str, ...] = (KEY,), order: str = ORDER) -> DataFrame:
-    """Adds, for each name, the decayed sum of its column (never null) in time order, and n, the row's number."""
+    """Adds, for each name, the decayed sum of its column (never null) in time order, and n, the row's number (from pos, if the rows have it)."""
     block = max(1, min(256, int(27 / -math.log(q)))) if 0 < q < 1 else 1
-    rows = numbered(df, keys, order).withColumn("n", F.col("pos") + 1).withColumns({"_b": F.expr(f"pos div {block}"), "_p": F.col("pos") % block}).drop("pos")
+    rows = (df if "pos" in df.columns else numbered(df, keys, order)).withColumn("n", F.col("pos") + 1).withColumns({"_b": F.expr(f"pos div {block}"), "_p": F.col("pos") % block}).drop("pos")
     run = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_s_{k}": F.sum(c * F.pow(F.lit(q), -F.col("_p"))).over(run) * F.pow(F.lit(q), F.col("_p")) for k, c in columns.items()})
     ends = rows.groupBy(*keys, F.col("_b").alias("_o")).agg(*(F.max_by(f"_s_{k}", "_p").alias(f"_e_{k}") for k in columns))

@@ -56,10 +56,10 @@ def _price_features(bars: DataFrame, w: WindowSpec, momentum: tuple[int, ...], v
 
 def rsi(bars: DataFrame, period: int, rows: int | None = None) -> DataFrame:
     """(symbol, timestamp, rsi): Wilder's relative strength from smoothed gains and losses."""
-    known = bars.select(KEY, ORDER, "close", *(["pos"] if "pos" in bars.columns else []))
+    known = bars.select(KEY, ORDER, "close", "pos") if "pos" in bars.columns else numbered(bars.select(KEY, ORDER, "close"))
     steps = in_blocks(known, lambda df, w: df.withColumn("_step", F.col("close") - F.lag("close").over(w)), 1, rows=rows)
     step = F.col("_step")
-    moves = steps.select(KEY, ORDER, F.greatest(step, F.lit(0.0)).alias("gain"), F.greatest(-step, F.lit(0.0)).alias("loss"), "_step").where("_step is not null")
+    moves = steps.select(KEY, ORDER, F.greatest(step, F.lit(0.0)).alias("gain"), F.greatest(-step, F.lit(0.0)).alias("loss"), (F.col("pos") - 1).alias("pos"), "_step").where("_step is not null")
     smooth = ewm_means(moves, {"g": "gain", "l": "loss"}, 1 / period, period)
     return smooth.select(KEY, ORDER, safe_div(100 * F.col("g"), F.col("g") + F.col("l")).alias(f"rsi_{period}"))
 

@@ -22,9 +22,9 @@ def next_bar(bars: DataFrame, rows: int | None = None) -> DataFrame:
 
 def ewma_volatility(bars: DataFrame, span: int, rows: int | None = None) -> DataFrame:
     """Adds sigma, the exponentially weighted deviation of log returns."""
-    known = bars.select(KEY, ORDER, "close", *(["pos"] if "pos" in bars.columns else []))
+    known = bars.select(KEY, ORDER, "close", "pos") if "pos" in bars.columns else numbered(bars.select(KEY, ORDER, "close"))
     r = in_blocks(known, lambda df, w: df.withColumn("_r", F.log(F.col("close") / F.lag("close").over(w))), 1, rows=rows)
-    return bars.join(ewm_std(r.select(KEY, ORDER, "_r"), "_r", "sigma", span), [KEY, ORDER], "left")
+    return bars.join(ewm_std(r.select(KEY, ORDER, "_r", (F.col("pos") - 1).alias("pos")), "_r", "sigma", span), [KEY, ORDER], "left")
 
 
 def momentum_side(bars: DataFrame, k: int, rows: int | None = None) -> DataFrame:
@@ -53,12 +53,13 @@ def triple_barrier(bars: DataFrame, up: float, down: float, max_holding: int, si
     kept = F.when(F.col("_own"), F.struct(*bars.columns))
     line = spread.groupBy(KEY, "_block").agg(F.array_sort(F.collect_list(F.struct(F.col(ORDER).alias("ts"), "high", "low", "close", F.col("_top").alias("top"), F.col("_bottom").alias("bottom"), kept.alias("row")))).alias("line"))
     top = max_holding.bit_length() - 1
-    tables = line.withColumns({"_hi": F.expr(_levels("transform(line, x -> x.high)", "greatest", top)), "_lo": F.expr(_levels("transform(line, x -> x.low)", "least", top))})
+    # bound to a variable, so that a block's tables are made once and not for each bar
+    tables = f"array(named_struct('hi', {_levels('transform(line, x -> x.high)', 'greatest', top)}, 'lo', {_levels('transform(line, x -> x.low)', 'least', top)}))"
     # bars from the next one that no barrier stops
-    place = f"aggregate(reverse(sequence(0, {top})), i + 1, (p, j) -> if(get(_hi[j], p) < x.top and get(_lo[j], p) > x.bottom, p + shiftleft(1, j), p))"
+    place = f"aggregate(reverse(sequence(0, {top})), i + 1, (p, j) -> if(get(m.hi[j], p) < x.top and get(m.lo[j], p) > x.bottom, p + shiftleft(1, j), p))"
     touch = f"transform(array({place}), p -> if(p - i <= {max_holding} and p < size(line), named_struct('h', p - i, 't', line[p].high >= x.top, 'b', line[p].low <= x.bottom), null))[0]"
-    found = f"filter(transform(line, (x, i) -> named_struct('row', x.row, 'top', x.top, 'bottom', x.bottom, 'hit', {touch}, 'last', get(line, i + {max_holding}).close)), x -> x.row is not null)"
-    df = tables.select(F.explode(F.expr(found)).alias("_x")).select("_x.row.*", F.col("_x.top").alias("_top"), F.col("_x.bottom").alias("_bottom"), F.col("_x.hit").alias("_hit"), F.col("_x.last").alias("_last"))
+    found = f"transform({tables}, m -> filter(transform(line, (x, i) -> named_struct('row', x.row, 'top', x.top, 'bottom', x.bottom, 'hit', {touch}, 'last', get(line, i + {max_holding}).close)), x -> x.row is not null))[0]"
+    df = line.select(F.explode(F.expr(found)).alias("_x")).select("_x.row.*", F.col("_x.top").alias("_top"), F.col("_x.bottom").alias("_bottom"), F.col("_x.hit").alias("_hit"), F.col("_x.last").alias("_last"))
     ok = sigma.isNotNull() & (sigma > 0) & F.col("_last").isNotNull() & side.isNotNull() & (side != 0)
     # the stop-loss is the bottom for a long, the top for a short
     at_bottom = F.when(side < 0, ~F.col("_hit.t")).otherwise(F.col("_hit.b"))

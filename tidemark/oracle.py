@@ -113,7 +113,7 @@ s2 as (select * exclude (total) replace (side::bigint as side), label as y, ret_
 #: Trailing barriers by a walk over each series' bars, with the open position as its state.
 TRAILING = f"""pb0 as (select symbol, model, timestamp as ts, high, low, close, p_up + 0.4 as p, row_number() over (partition by symbol, model order by timestamp) as i, sigma,
   case when p_up + 0.4 > 0.5 and side in (1, -1) and sigma > 0 then side end as d from pred),
-pb as (select *, d * close * (1 + d * 1.5 * sigma) as tg, d * close * (1 - d * 1.0 * sigma) as st from pb0),
+pb as materialized (select *, d * close * (1 + d * 1.5 * sigma) as tg, d * close * (1 - d * 1.0 * sigma) as st from pb0),
 wk as (select distinct symbol, model, 0::bigint as i, null::bigint as hd, null::bigint as hts, null::double as hp, null::double as hprice, null::double as htg, null::double as hst, 0::bigint as hn,
     null::varchar as rs, null::bigint as xd, null::bigint as xts, null::double as xp, null::double as xprice, 0::bigint as xn, null::bigint as out_ts, null::double as out_price from pb
   union all select symbol, model, bi, case when opens then d else hd end, case when opens then case when d is not null then ts end else hts end, case when opens then p else hp end, case when opens then close else hprice end,

@@ -1,4 +1,4 @@
-"""From candles to labelled samples, and from samples to forecasts: one lazy plan each."""
+"""From candles to labelled samples, and from samples to forecasts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.steps import pinned
 from ..functions.timeframes import timeframe_ms
 from ..operators import blocks, candles, features, labels, models
 
@@ -103,8 +104,9 @@ def load(path: str | None = None) -> Settings:
 
 def samples(candle_rows: DataFrame, s: Settings) -> DataFrame:
     """Distinct candles -> bars with features, y, ret_next, holding_bars, side and sigma; rows without a value in any
-    feature or the target are left out."""
-    bars = blocks.numbered(candles.to_bars(candle_rows, s.timeframe, s.min_candles))
+    feature or the target are left out.  Computed now."""
+    # features, smoothed values and labels all start from the bars
+    bars = pinned(blocks.numbered(candles.to_bars(candle_rows, s.timeframe, s.min_candles)))
     df = features.all_features(bars, **s.features.args())
     names = features.feature_names(**s.features.args())
     if s.target.kind == "next_bar":
@@ -119,7 +121,8 @@ def samples(candle_rows: DataFrame, s: Settings) -> DataFrame:
             df = df.withColumn("side", F.lit(1).cast("long"))
         df = labels.triple_barrier(df, s.target.pt_mult, s.target.sl_mult, s.target.max_holding, sided)
         df = df.withColumnsRenamed({"label": "y", "ret_trade": "ret_next"})
-    return df.dropna(subset=[*names, "y"]).drop("pos")
+    # written before it is filtered: what the engine infers from so many conditions on columns made from each other grows too fast to plan
+    return pinned(df.drop("pos")).dropna(subset=[*names, "y"])
 
 
 def naive_forecasts(candle_rows: DataFrame, s: Settings) -> DataFrame:

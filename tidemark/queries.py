@@ -53,8 +53,7 @@ ROWS = 64
 
 
 def _samples(spark: SparkSession, d: str, s: dataset.Settings = SETTINGS) -> DataFrame:
-    """Computed once for the steps that read them."""
-    return pinned(dataset.samples(_candles(spark, d), s))
+    return dataset.samples(_candles(spark, d), s)
 
 
 def _pred(spark: SparkSession, d: str) -> DataFrame:
@@ -327,9 +326,9 @@ def backtest_metrics(spark: SparkSession, d: str) -> DataFrame:
     return pick(backtest.backtest_metrics(_pred(spark, d), 0.001, _BPY), "symbol, model", ", ".join(backtest.METRICS), 6)
 
 
-_AUC_SQL = """both as (select symbol, model, y, p_up from pred union all select symbol, model, y, p_up from hold),
-ac as (select symbol, model, avg(case when (p_up >= 0.5) = (y = 1) then 1.0 else 0.0 end) as accuracy, case when count(distinct p_up) > 1 then (select sum(case when a.p_up > b.p_up then 1.0 when a.p_up = b.p_up then 0.5 else 0.0 end) / nullif(count(*), 0) from both a, both b
-  where a.symbol = x.symbol and a.model = x.model and b.symbol = x.symbol and b.model = x.model and a.y = 1 and b.y = 0) end as auc from both x group by symbol, model)"""
+_AUC_SQL = """bo as materialized (select symbol, model, y, p_up from pred union all select symbol, model, y, p_up from hold),
+won as (select symbol, model, avg(case when a.p_up > b.p_up then 1.0 when a.p_up = b.p_up then 0.5 else 0.0 end) as auc from bo a join bo b using (symbol, model) where a.y = 1 and b.y = 0 group by symbol, model),
+ac as (select symbol, model, avg(case when (p_up >= 0.5) = (y = 1) then 1.0 else 0.0 end) as accuracy, case when count(distinct p_up) > 1 then any_value(auc) end as auc from bo left join won using (symbol, model) group by symbol, model)"""
 _HOLD = "hold as (select p.* replace ('buy_and_hold' as model, 1.0::double as p_up) from pred p where model = 'momentum_sign')"
 
 
@@ -376,12 +375,12 @@ def trade_equity(spark: SparkSession, d: str) -> DataFrame:
     f"""{o.PRED}, {o.TRADES}, sp as (select symbol, model, (max(timestamp) - min(timestamp) + {HOUR}) as el from pred group by symbol, model),
 m as (select symbol, model, count(*) as n, avg(case when ret_net > 0 then 1.0 else 0.0 end) as win_rate, avg(ret_net) as avg_ret_net, stddev_samp(ret_net) as sd, arg_max(equity, trade_no) as eq, min(drawdown) as mdd, sum(holding_bars) as hb, avg(holding_bars) as ah from tq group by symbol, model)
 select symbol, model, cast(coalesce(n, 0) as double) as n_trades, round(win_rate, 6) as win_rate, round(avg_ret_net, 6) as avg_ret_net, round(avg_ret_net / nullif(sd, 0) * sqrt(n / (el / 31536000000.0)), 6) as sharpe_net, round(coalesce(mdd, 0), 6) as max_drawdown_net,
-  round(coalesce(hb * {HOUR} / el, 0), 6) as exposure, round(ah, 6) as avg_holding_bars, round(coalesce(n, 0) / (el / 31536000000.0), 6) as trades_per_year, round(case when coalesce(n, 0) = 0 then 0 when eq > 0 then log10(pow(eq, 1 / (el / 31536000000.0))) end, 6) + 0.0 as log_ann_growth from sp left join m using (symbol, model)"""
+  round(coalesce(hb * {HOUR} / el, 0), 6) as exposure, round(ah, 6) as avg_holding_bars, round(coalesce(n, 0) / (el / 31536000000.0), 6) as trades_per_year, round(case when coalesce(n, 0) = 0 then log10(2) when eq > 0 then log10(1 + pow(eq, 1 / (el / 31536000000.0))) end, 6) + 0.0 as log_ann_growth from sp left join m using (symbol, model)"""
 )
 def trade_metrics(spark: SparkSession, d: str) -> DataFrame:
     t, pred = _trades(spark, d)
     # a few days' gain, taken to a year, can be a huge number: it is compared by its logarithm
-    out = trades.trade_metrics(t, pred, HOUR).withColumn("log_ann_growth", F.log10(1 + F.col("ann_return_net")))
+    out = trades.trade_metrics(t, pred, HOUR).withColumn("log_ann_growth", F.log10(2 + F.col("ann_return_net")))
     return pick(out, "symbol, model, n_trades", "log_ann_growth, win_rate, avg_ret_net, sharpe_net, max_drawdown_net, exposure, avg_holding_bars, trades_per_year", 6)
 
 
@@ -425,7 +424,7 @@ def trailing_trades(spark: SparkSession, d: str) -> DataFrame:
 def _fitted(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Samples, and the models of all their series and folds; and the features' names."""
     names = features.feature_names(**SETTINGS.features.args())
-    rows = dataset.samples(_candles(spark, d), SETTINGS).select("symbol", "timestamp", "close", "y", "ret_next", *names)
+    rows = _samples(spark, d).select("symbol", "timestamp", "close", "y", "ret_next", *names)
     return rows, models.fit(rows, names, name, SETTINGS.n_splits, SETTINGS.test_size, SETTINGS.purge, SETTINGS.seed), names
 
 
