@@ -44,7 +44,7 @@ def test_stages_in_order(spark, tiny):
     order = sorted(kept)
     raw = [kept[i].encode() for i in order]
     want = {}
-    for i, t, gone in zip(order, raw, covered(raw, 240), strict=True):
+    for i, t, gone in zip(order, raw, covered(raw, 101), strict=True):
         spans = spans_of(t, gone, 51)
         rest = b"".join(t[a:b] for a, b in zip([0, *(j for _, j in spans)], [*(i for i, _ in spans), len(t)], strict=True)).decode("utf-8", "ignore")
         if rest or not spans:
@@ -121,3 +121,15 @@ def test_near_dedup_threshold(spark, tiny):
     rows = [(1, base), (2, near), (11, other), (12, ["v" + w for w in far])]
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, tiny).collect()) == [1, 11, 12]
+
+
+def test_short_words_make_a_passage(spark, tiny):
+    """52 words in 110 bytes, in two documents; 50 words aren't a passage."""
+    passage = " ".join(["a", "b", "c", "d"] * 12 + ["eee", "fff", "ggg", "hhhh"])
+    assert len(passage) == 110 and len(passage.split()) == 52
+    few = " ".join(f"{chr(97 + k % 26)}{k % 7}" for k in range(50))
+    texts = [f"one starts {passage} here", f"two begins {passage} there", f"three {few} x1", f"four {few} y2"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, tiny).collect()}
+    assert passage not in out[0] and passage not in out[1] and len(out[0]) < 20
+    assert out[2] == texts[2] and out[3] == texts[3]
