@@ -42,12 +42,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of over 50 words out of the texts, all of whose strings of 240 bytes occur twice or more.
+    """Cut passages of over 50 words out of the texts, all of whose strings of 101 bytes occur twice or more.
 
-    So many words take 270 bytes and more in the texts that the passages come from.  Documents that are empty then go; those that were
+    51 words take 101 bytes at least, so no repeated passage is too short to be seen.  Documents that are empty then go; those that were
     null or empty before stay, with their n_chars counted anew.  Rows that repeat each other are cut alike (all of a
     long text goes); an empty table stays empty; columns beyond those of documents are left behind."""
-    cut = suffix_dedup(docs.select(*COLUMNS), length=240, words=51, columns=("doc_id", "lang", "source"), with_text=True)
+    cut = suffix_dedup(docs.select(*COLUMNS), length=101, words=51, columns=("doc_id", "lang", "source"), with_text=True)
     return cut.where("n_removed = 0 or length(text) > 0").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import logging
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.steps import pinned
 from ..functions.timeframes import date_ms, month_bounds_ms, month_range, timeframe_ms
 from ..operators import candles
 from ..sources import lake
@@ -31,7 +33,8 @@ def backfill(spark: SparkSession, client: str, symbol: str, root: str, first: da
 
     Months next to each other are one read, split into tasks by time."""
     step = timeframe_ms(timeframe)
-    todo = [m for m in month_range(first, last) if not lake.is_complete(spark, root, symbol, *m, step)]
+    done = lake.complete_months(spark, root, symbol, step)
+    todo = [m for m in month_range(first, last) if m not in done]
     written = 0
     while todo:
         run = [todo.pop(0)]
@@ -40,7 +43,8 @@ def backfill(spark: SparkSession, client: str, symbol: str, root: str, first: da
         since, until = max(month_bounds_ms(*run[0])[0], date_ms(first)), min(month_bounds_ms(*run[-1])[1], now_ms)
         if since >= until:
             continue
-        df = clean(read_exchange(spark, client, symbol, timeframe, since, until, **options), timeframe, now_ms).select("symbol", *candles.CANDLE).persist()
+        # written once: what is checked is what goes into the lake, and the exchange isn't asked again
+        df = pinned(clean(read_exchange(spark, client, symbol, timeframe, since, until, **options), timeframe, now_ms).select("symbol", *candles.CANDLE))
         n = df.count()
         if n:
             candles.validate(df)
@@ -49,16 +53,17 @@ def backfill(spark: SparkSession, client: str, symbol: str, root: str, first: da
             lake.write_months(df.withColumn("seq", F.lit(0).cast("long")), root)
         else:
             log.warning("no closed candle from %d to %d", since, until)
-        df.unpersist()
         written += n
     return written
 
 
 def incremental(spark: SparkSession, client: str, symbol: str, path: str, now_ms: int, look_back_ms: int = 48 * 3_600_000, timeframe: str = "15m", dry_run: bool = False, **options) -> int:
-    """Insert the candles of the look-back that the table at path lacks; rows inserted.  No candle at all is an error."""
+    """Insert the candles of the look-back that the table at path lacks; rows inserted.  No candle at all is an error.
+
+    They are fetched once; the rows that are checked are those that are written."""
     step = timeframe_ms(timeframe)
     since = (now_ms - look_back_ms) // step * step
-    df = clean(read_exchange(spark, client, symbol, timeframe, since, now_ms, **options), timeframe, now_ms)
+    df = pinned(clean(read_exchange(spark, client, symbol, timeframe, since, now_ms, **options), timeframe, now_ms))
     if df.isEmpty():
         raise RuntimeError("the exchange returned no closed candle")
     checked = candles.validate(df.select("symbol", *candles.CANDLE))
@@ -67,13 +72,14 @@ def incremental(spark: SparkSession, client: str, symbol: str, path: str, now_ms
         return 0
     try:
         present = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         present = df.limit(0)
-    new = candles.insert_if_absent(df, present).select("symbol", *candles.CANDLE).withColumn("ingested_at", F.current_timestamp()).persist()
+    # only the look-back's part of the table can hold what is new
+    near = present.where((F.col("symbol") == symbol) & (F.col("timestamp") >= since))
+    new = pinned(candles.insert_if_absent(df, near).select("symbol", *candles.CANDLE).withColumn("ingested_at", F.current_timestamp()))
     n = new.count()
     if n:
         new.write.mode("append").parquet(path)
-    new.unpersist()
     return n

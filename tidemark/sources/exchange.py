@@ -6,12 +6,11 @@ from since_ms on, and raises NetworkError for what is worth another try.  The da
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import importlib
 import random
 import time
-from collections.abc import Callable, Generator, Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,22 +39,17 @@ def with_retries(call: Callable[[], list], attempts: int = 6, base_s: float = 1.
     raise ValueError("no attempts")
 
 
-def spans(since_ms: int, until_ms: int, step_ms: int, limit: int) -> Generator[int, list, None]:
-    """Times from which to ask for pages; sent each page, it goes on behind its last row, or by a page's span if that is no progress."""
-    while since_ms < until_ms:
-        page = yield since_ms
-        behind = [int(row[0]) + step_ms for row in page[-1:]]
-        since_ms = max([since_ms, *behind]) if max(behind, default=since_ms) > since_ms else since_ms + limit * step_ms
-
-
 def pages(client, symbol: str, timeframe: str, since_ms: int, until_ms: int, limit: int = 1000, **retry) -> Iterator[list]:
-    """Rows with since_ms <= time < until_ms, each page's from the time it was asked for."""
-    plan, page = spans(since_ms, until_ms, timeframe_ms(timeframe), limit), None
-    with contextlib.suppress(StopIteration):
-        while True:
-            asked = plan.send(page)
-            page = with_retries(functools.partial(client.fetch, symbol, timeframe, asked, limit), **retry)
-            yield from filter(lambda row, asked=asked: asked <= row[0] < until_ms, page)
+    """Rows with since_ms <= time < until_ms, in windows of one page each; a window whose page ends early is asked for again from behind
+    its last row, until that brings nothing."""
+    step = timeframe_ms(timeframe)
+    for start in range(since_ms, until_ms, limit * step):
+        end, rows = min(start + limit * step, until_ms), [[start - step]]
+        while rows and rows[-1][0] + step < end:
+            ask = int(rows[-1][0]) + step
+            page = with_retries(functools.partial(client.fetch, symbol, timeframe, ask, limit), **retry)
+            rows = [row for row in page if ask <= row[0] < end]
+            yield from rows
 
 
 class Stretch(InputPartition):
@@ -64,7 +58,7 @@ class Stretch(InputPartition):
 
 
 class ExchangeSource(DataSource):
-    """spark.read.format("exchange") with client, symbol, timeframe, since, until (ms), page_limit, pages_per_task."""
+    """spark.read.format("exchange") with client, symbol, timeframe, since, until (ms), page_limit, pages_per_task, base_url, attempts, base_s, cap_s."""
 
     @classmethod
     def name(cls) -> str:
@@ -88,8 +82,9 @@ class ExchangeReader(DataSourceReader):
 
     def read(self, part: Stretch) -> Iterator[tuple]:
         module, factory = self.o["client"].split(":")
-        client = getattr(importlib.import_module(module), factory)()
-        rows = pages(client, self.o["symbol"], self.o["timeframe"], part.since_ms, part.until_ms, int(self.o.get("page_limit", 1000)))
+        client = getattr(importlib.import_module(module), factory)(*([self.o["base_url"]] if "base_url" in self.o else []))
+        retry = {k: kind(self.o[k]) for k, kind in (("attempts", int), ("base_s", float), ("cap_s", float)) if k in self.o}
+        rows = pages(client, self.o["symbol"], self.o["timeframe"], part.since_ms, part.until_ms, int(self.o.get("page_limit", 1000)), **retry)
         for n, r in enumerate(rows):
             yield (self.o["symbol"], int(r[0]), *(float(x) for x in r[1:6]), part.since_ms + n)
 

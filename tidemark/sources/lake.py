@@ -65,9 +65,14 @@ def last_timestamp(df: DataFrame) -> int | None:
     return df.agg(F.max("timestamp").alias("t")).first().t
 
 
+def complete_months(spark: SparkSession, root: str, symbol: str, step_ms: int) -> set[tuple[int, int]]:
+    """The months that hold their last candle for the symbol: one listing and one aggregate of open times, however many months."""
+    if not months(spark, root, symbol):
+        return set()
+    last = _scan(spark, root).where(F.col("symbol") == symbol).groupBy("year", "month").agg(F.max("timestamp").alias("t"))
+    return {(r.year, r.month) for r in last.collect() if r.t is not None and r.t >= month_bounds_ms(r.year, r.month)[1] - step_ms}
+
+
 def is_complete(spark: SparkSession, root: str, symbol: str, year: int, month: int, step_ms: int) -> bool:
     """Whether the symbol's folder of the month holds the month's last candle."""
-    if (year, month) not in months(spark, root, symbol):
-        return False
-    last = last_timestamp(read_month(spark, root, year, month, symbol))
-    return last is not None and last >= month_bounds_ms(year, month)[1] - step_ms
+    return (year, month) in complete_months(spark, root, symbol, step_ms)
