@@ -3,7 +3,7 @@
 Parse.  A rolling hash over 8 bytes puts a trigger at about every 64th byte; the text between triggers is a phrase.
 The start of a window of `length` bytes lies in one phrase: the first trigger at or after it ends that phrase, and the
 window is a phrase's suffix (up to the trigger) followed by a beginning of the parse's suffix there.  Starts that
-share a trigger and a distance class (128 wide) form a cell.  Cells whose common bytes (core) occur once hold no repeated
+share a trigger and a distance class (128 wide, less for short windows) form a cell.  Cells whose common bytes (core) occur once hold no repeated
 start and go; cells all of whose bytes (extent) occur twice or more hold only repeated ones.  What is left
 are the cells at the ends of repeated passages, and one witness for each extent that shares their core.
 
@@ -80,17 +80,18 @@ def cells(h: np.ndarray, n: int, length: int) -> tuple[np.ndarray, ...]:
         far = np.concatenate((far, least[new] - rest[new]))
         near = np.concatenate((near, least[new] - rest[end]))
     out = []
-    for low in range(0, length, TIER):
-        sel = (far >= low) & (near < low + TIER)
+    # windows of a cell have about half their bytes in common, or more
+    tier = min(TIER, length // 2 + WINDOW, length)
+    for low in range(0, length, tier):
+        sel = (far >= low) & (near < low + tier)
         t = at[sel]
-        first = t - np.minimum(far[sel], low + TIER - 1)
+        first = t - np.minimum(far[sel], low + tier - 1)
         final = np.minimum(t - np.maximum(near[sel], low), last)
         ok = final >= first
         t, first, final = t[ok], first[ok], final[ok]
-        # bytes common to all starts at distances low .. low + TIER - 1
-        a, b = t - low, t - (low + TIER - 1) + length
-        short = b <= a  # windows shorter than a tier: nothing in common is asked for
-        core = tc.span_hash(h, np.where(short, 0, a), np.where(short, 0, np.minimum(b, n)))
+        # bytes common to all starts at distances low .. low + tier - 1
+        a, b = t - low, t - (low + tier - 1) + length
+        core = tc.span_hash(h, a, np.minimum(b, n))
         out.append((core, tc.span_hash(h, first, final + length), first, final - first + 1, t - first))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
