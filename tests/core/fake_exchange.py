@@ -21,3 +21,16 @@ class Grid:
 
 def grid():
     return Grid()
+
+
+class Logged(Grid):
+    """Notes each call in a file, as every task has a client of its own."""
+
+    def __init__(self, path):
+        super().__init__(start=0, stop=T0 + 10**9, step=900_000)
+        self.path = path
+
+    def fetch(self, *args):
+        with open(self.path, "a") as f:
+            f.write("x")
+        return super().fetch(*args)

@@ -175,3 +175,12 @@ def test_trailing_policy(spark, tiny):
     assert {"exit_reason", "n_updates"} <= set(out["trades"].columns)
     assert out["trades"].count() > 0
     assert out["trade_backtest"].count() == 2
+
+
+def test_incremental_fetches_once(spark, tmp_path):
+    """48 hours of quarters of an hour are one page, and one call."""
+    spark.sparkContext.addPyFile(fx.__file__)
+    log = tmp_path / "calls"
+    ask = lambda: ingest.incremental(spark, "fake_exchange:Logged", "X", str(tmp_path / "table"), fx.T0, base_url=str(log))
+    assert ask() == 192 and len(log.read_text()) == 1
+    assert ask() == 0 and len(log.read_text()) == 2
