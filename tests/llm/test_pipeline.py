@@ -125,7 +125,7 @@ def test_near_dedup_threshold(spark, tiny):
 
 def test_short_words_make_a_passage(spark, tiny):
     """52 words in 110 bytes, in two documents; 50 words aren't a passage."""
-    passage = " ".join(["a", "b", "c", "d"] * 12 + ["eee", "fff", "ggg", "hhhh"])
+    passage = " ".join(["a", "b", "c", "d"] * 12 + ["eee", "fff", "ggg", "hh"])
     assert len(passage) == 110 and len(passage.split()) == 52
     few = " ".join(f"{chr(97 + k % 26)}{k % 7}" for k in range(50))
     texts = [f"one starts {passage} here", f"two begins {passage} there", f"three {few} x1", f"four {few} y2"]
