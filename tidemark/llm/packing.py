@@ -32,8 +32,8 @@ from .common import small_batches
 #: Examples that wait at most, per task, and how many of them are left waiting between batches.
 POOL, REST = 1024, 512
 #: Distinct words whose ids a worker keeps at most, and bytes of text that are looked up at once.
-KEPT_WORDS = 1_500_000
-CHUNK = 1 << 20
+KEPT_WORDS = 400_000
+CHUNK = 1 << 18
 END_ID = 2
 
 _PUNCT = np.zeros(256, dtype=bool)
