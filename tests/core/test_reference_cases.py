@@ -10,7 +10,7 @@ import pytest
 
 import brute
 from tidemark.functions import timeframes as tf
-from tidemark.operators import backtest, boosting, candles, chains, features, labels, models, scoring, splits, trades
+from tidemark.operators import backtest, boosting, candles, chains, features, labels, logistic, models, scoring, splits, trades
 from tidemark.operators.ewm import ewm_means, ewm_std
 from tidemark.plans.dataset import FeatureSpec, Settings, TargetSpec, load
 
@@ -373,16 +373,31 @@ def test_boosted_trees_contributions(spark):
         assert abs(r.a + r.b + r.bias - math.log(p[r.timestamp] / (1 - p[r.timestamp]))) < 1e-6
 
 
-def test_logistic_is_at_its_optimum():
+def test_logistic_is_at_its_optimum(spark, monkeypatch):
+    """Models of several series and folds, one of a single class, whether their table is sent to the rows or joined with them."""
     rng = np.random.default_rng(2)
-    x = np.column_stack([rng.normal(3, 5, 300), rng.normal(0, 0.01, 300), np.ones(300)])
-    y = (x[:, 0] - 3 + rng.normal(0, 3, 300) > 0).astype(float)
-    mean, scale, w, bias = boosting.logistic(x, y)
-    z = (x - mean) / scale
-    p = 1 / (1 + np.exp(-(z @ w + bias)))
-    assert np.abs(z.T @ (p - y) + w).max() < 1e-5 and abs((p - y).sum()) < 1e-5
-    assert w[0] > 1 and w[2] == 0
-    assert boosting.logistic(x, np.ones(300))[2].tolist() == [0, 0, 0]
+    names, data, rows = ["a", "b", "c"], {}, []
+    for key in (("s", 0), ("s", 1), ("t", 0)):
+        x = np.column_stack([rng.normal(3, 5, 300), rng.normal(0, 0.01, 300), np.ones(300)])
+        y = (x[:, 0] - 3 + rng.normal(0, 3, 300) > 0).astype(int)
+        data[key] = x, y
+        rows += [(*key, int(v), *map(float, u)) for u, v in zip(x, y, strict=True)]
+    rows += [("one", 0, 1, float(i), 0.0, 1.0) for i in range(30)]
+    train = spark.createDataFrame(rows, "symbol string, fold long, y long, a double, b double, c double").repartition(5)
+    for sent in (20_000, 0):
+        monkeypatch.setattr(logistic, "SENT", sent)
+        fitted = {(r.symbol, r.fold): r for r in logistic.fit(train, names).collect()}
+        assert set(fitted) == {*data, ("one", 0)}
+        for key, (x, y) in data.items():
+            r = fitted[key]
+            z = (x - np.array(r.means)) / np.array(r.scales)
+            w = np.array(r.weights)
+            p = 1 / (1 + np.exp(-(z @ w + r.bias)))
+            assert np.allclose(r.means, x.mean(0)) and np.allclose(r.scales, [*x.std(0)[:2], 1.0])
+            assert np.abs(z.T @ (p - y) + w).max() < 1e-5 and abs((p - y).sum()) < 1e-5
+            assert w[0] > 1 and w[2] == 0
+        assert fitted["one", 0].weights == [0, 0, 0] and fitted["one", 0].bias > 30
+    assert logistic.fit(train.limit(0), names).count() == 0
 
 
 def test_trees_are_grown_by_the_best_gain():

@@ -1,5 +1,4 @@
-"""Models of one series' training rows, in numpy: regularised logistic regression by Newton steps, boosted trees
-grown leaf by leaf on histograms, and the trees' exact Shapley values.  Nothing here knows Spark."""
+"""Boosted trees of one series' training rows, in numpy, grown leaf by leaf on histograms, and their exact Shapley values.  Nothing here knows Spark."""
 
 from __future__ import annotations
 
@@ -21,40 +20,6 @@ def _log_odds(y) -> float:
     return math.log(p / (1 - p))
 
 
-def logistic(x, y, c: float = 1.0, steps: int = 100):
-    """(means, scales, weights, bias) that minimise |weights|^2 / 2 + c * log loss over standardised columns (constant
-    ones are left unscaled).  With one class only, the weights are 0."""
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale == 0] = 1.0
-    w = np.zeros(x.shape[1] + 1)
-    w[-1] = _log_odds(y)
-    if y.min() == y.max():
-        return mean, scale, w[:-1], w[-1]
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    ridge = np.full(len(w), 1.0 / c)
-    ridge[-1] = 0.0
-
-    def loss(at):
-        u = z @ at
-        return float(np.sum(np.logaddexp(0.0, u) - y * u) + 0.5 * np.sum(ridge * at * at))
-
-    now = loss(w)
-    for _ in range(steps):
-        p = sigmoid(z @ w)
-        slope = z.T @ (p - y) + ridge * w
-        if np.abs(slope).max() <= 1e-9 * len(y):
-            break
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge) + 1e-12 * np.eye(len(w)), slope)
-        size = 1.0
-        while loss(w - size * step) > now and size > 1e-6:
-            size /= 2
-        if size <= 1e-6:
-            break
-        w = w - size * step
-        now = loss(w)
-    return mean, scale, w[:-1], w[-1]
-
-
 def _edges(column):
     """Upper ends of the bins but the last: between neighbouring values, at quantiles where there are too many."""
     values = np.unique(column)

@@ -1,8 +1,8 @@
 """Forecast models: two naive ones as aggregates; logistic regression and boosted trees, one for each fold of each series.
 
-A series' training rows of a fold are fitted together, in one task for each: bars of one symbol, whose number its time range
-bounds (70,000 for eight years of hours), in doubles and one byte a value.  All series and folds are fitted at once, and the fitted
-models are a table."""
+Logistic regression is fitted by aggregates over all rows.  A series' training rows of a fold are given to its trees in one
+task for each: bars of one symbol, whose number its time range bounds (70,000 for eight years of hours), in doubles and one byte
+a value.  All series and folds are fitted at once, and the fitted models are a table."""
 
 from __future__ import annotations
 
@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEY, ORDER
-from . import boosting
+from . import boosting, logistic
 from .splits import assign, fold_bounds, number_rows, test_rows
 
 # executors need not have this library
 cloudpickle.register_pickle_by_value(boosting)
 
 FITS = ("logreg", "gbt")
-_LINEAR = "means array<double>, scales array<double>, weights array<double>, bias double"
 _NODES = "tree int, node int, feature int, threshold double, left int, right int, value double, cover double, gain double"
 
 
@@ -60,6 +59,11 @@ def naive_predictions(df: DataFrame, n_splits: int, test_size: int, purge: int,
     return test.withColumn("_m", F.explode(by_model)).select("*", "_m.*").drop("_m", "_prior", "_up", "_down", "pos", "n_rows")
 
 
+def train_rows(df: DataFrame, features: list[str], n_splits: int, test_size: int, purge: int) -> DataFrame:
+    """(symbol, fold, timestamp, y, features) of each fold's training rows."""
+    return assign(df.select(KEY, ORDER, "y", *features), n_splits, test_size, purge).where("role = 'train'").drop("role", "pos")
+
+
 def fit(df: DataFrame, features: list[str], name: str, n_splits: int, test_size: int, purge: int, seed: int = 42, rounds: int = 400) -> DataFrame:
     """A fresh model for each series and fold.  name: logreg (a row for each: means, scales, weights, bias) or gbt (a row for each node of
     each tree; tree -1 holds the log-odds that the trees start from).  df: rows with y and the features, without nulls."""
@@ -71,18 +75,15 @@ def fit(df: DataFrame, features: list[str], name: str, n_splits: int, test_size:
 
         pdf = pdf.sort_values(ORDER)
         x, y = pdf[features].to_numpy(float), pdf["y"].to_numpy(float)
-        if name == "logreg":
-            mean, scale, weights, bias = boosting.logistic(x, y)
-            out = pd.DataFrame({"means": [mean], "scales": [scale], "weights": [weights], "bias": [bias]})
-        else:
-            out = pd.DataFrame(boosting.boost(x, y, rounds=rounds, seed=seed))
+        out = pd.DataFrame(boosting.boost(x, y, rounds=rounds, seed=seed))
         out.insert(0, KEY, key[0])
         out.insert(1, "fold", key[1])
         return out
 
-    train = assign(df.select(KEY, ORDER, "y", *features), n_splits, test_size, purge).where("role = 'train'")
-    schema = f"{KEY} string, fold long, {_LINEAR if name == 'logreg' else _NODES}"
-    return train.drop("role", "pos").groupBy(KEY, "fold").applyInPandas(run, schema)
+    train = train_rows(df, features, n_splits, test_size, purge)
+    if name == "logreg":
+        return logistic.fit(train.drop(ORDER), features)
+    return train.groupBy(KEY, "fold").applyInPandas(run, f"{KEY} string, fold long, {_NODES}")
 
 
 def _beside_nodes(test: DataFrame, nodes: DataFrame, features: list[str], per_rows, names: list[str]) -> DataFrame:

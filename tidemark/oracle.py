@@ -124,3 +124,10 @@ wk as (select distinct symbol, model, 0::bigint as i, null::bigint as hd, null::
     from wk w join pb b on b.symbol = w.symbol and b.model = w.model and b.i = w.i + 1))),
 tt as (select symbol, model, xts as entry_ts, out_ts as exit_ts, xd as direction, greatest(1, (out_ts - xts) // {HOUR}) as holding_bars, xp as p_up, xprice as entry_price, out_price as exit_price, rs as exit_reason, xn as n_updates,
   xd * (out_price / xprice - 1) as ret_gross, xd * (out_price / xprice - 1) - 0.002 as ret_net from wk where rs is not null)"""
+
+#: Training rows of each fold by feature, and what the derivatives of a fitted model must be.
+OPTIMALITY = """tnr as (select s2.*, fd.fold, (s2.timestamp // 3600000) % 24 as h, (s2.timestamp // 86400000 + 4) % 7 as w from s2 join fd on fd.symbol = s2.symbol and s2.pos < fd.total - (3 - fd.fold) * 24 - 6),
+wide as (select symbol, fold, y::double as bias, ret_1, ret_3, ret_6, vol_6, vol_12, vol_ratio_6_12, parkinson_6, garman_klass_6, range_pct, close_pos_bar, close_pos_6, dist_high_6, close_pos_12, dist_high_12, gap, rsi_14,
+  sin(2 * pi() * h / 24) as hour_sin, cos(2 * pi() * h / 24) as hour_cos, sin(2 * pi() * w / 7) as dow_sin, cos(2 * pi() * w / 7) as dow_cos from tnr),
+opt as (select symbol, fold, feature, count(*) as n_train, avg(value) as mean, case when feature = 'bias' then 1 else coalesce(nullif(stddev_pop(value), 0), 1) end as scale, 0.0::double as residual
+  from (unpivot wide on columns(* exclude (symbol, fold)) into name feature value value) group by symbol, fold, feature)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import oracle as o
 from .functions.steps import pinned
 from .functions.timeframes import date_ms, month_rows
-from .operators import backtest, candles, features, labels, models, scoring, splits, trades
+from .operators import backtest, candles, features, labels, logistic, models, scoring, splits, trades
 from .plans import dataset
 from .sources.ticks import ticks
 
@@ -454,6 +454,15 @@ def logistic_contributions(spark: SparkSession, d: str) -> DataFrame:
     return _contributions(spark, d, "logreg")
 
 
+@query(f"{o.PRED}, {o.OPTIMALITY} select symbol, fold, feature, n_train, {o.rounded('mean, scale', 6)}, residual from opt")
+def logistic_optimality(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the derivatives at the fitted models: SQL says 0 for each."""
+    rows, fitted, names = _fitted(spark, d, "logreg")
+    train = models.train_rows(rows, names, SETTINGS.n_splits, SETTINGS.test_size, SETTINGS.purge)
+    out = logistic.residuals(train, fitted, names)
+    return pick(out.withColumn("residual", F.round("residual", 4) + 0.0), "symbol, fold, feature, n_train, residual", "mean, scale", 6)
+
+
 @query()
 def tree_forecasts(spark: SparkSession, d: str) -> DataFrame:
     return _forecasts(spark, d, "gbt")
