@@ -45,6 +45,7 @@ NEVER = 1 << 20
 _INT64, _INT32 = pa.int64(), pa.int32()
 CELLS = {"core": _INT64, "extent": _INT64, "rid": _INT64, "start": _INT32, "len": _INT32, "reach": _INT32}
 CONTEXTS = {"rid": _INT64, "start": _INT32, "near": _INT32, "far": _INT32, "weight": _INT32, "left": pa.binary(), "right": pa.binary()}
+PIECES = {"rid": _INT64, "at": _INT32, "text": pa.binary()}
 SUFFIXES = {"end": _INT64, "next": _INT64, "rid": _INT64, "start": _INT32, "weight": _INT32}
 _SQL = {_INT64: "long", _INT32: "int", pa.binary(): "binary", pa.list_(_INT32): "array<int>", pa.list_(_INT64): "array<long>"}
 
@@ -53,46 +54,53 @@ def _ddl(fields: dict[str, pa.DataType]) -> str:
     return ", ".join(f"`{k}` {_SQL[v]}" for k, v in fields.items())
 
 
-def cells(h: np.ndarray, n: int, length: int) -> tuple[np.ndarray, ...]:
-    """Cells of one text of n bytes with prefix hashes h: core and extent hash, first start, number of starts, and the
-    first start's distance from the trigger."""
-    last = n - length  # the last start
+def cells(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Cells of some texts of `length` bytes or more, text i at bounds[i] of data: core and extent hash, text, first start, number of
+    starts, and the first start's distance from the trigger."""
+    h, n = tc.prefix_hash(data), len(data)
+    begin, end = bounds[:-1], bounds[1:]
     k = np.arange(n - WINDOW + 1)
     g = tc.span_hash(h, k, k + WINDOW)
     # a trigger must lie inside every window that it names
     reach = min(3 * TIER, length - WINDOW)
     at = k[(g % tc.U(PERIOD)) == 0]
-    prev = np.concatenate((np.full(1, -1), at[:-1])) if len(at) else at
+    doc = np.searchsorted(bounds, at, side="right") - 1
+    inside = at + WINDOW <= end[doc]
+    at, doc = at[inside], doc[inside]
+    prev = begin[doc] - 1
+    prev[1:] = np.maximum(prev[1:], at[:-1])
     far = np.minimum(at - prev - 1, reach - 1)  # distance of the farthest start
     near = np.zeros_like(at)
     # starts that no trigger names: named by the least hash within reach
-    named = np.zeros(last + 2, dtype=np.int64)
-    np.add.at(named, np.clip(at - far, 0, last + 1), 1)
-    np.add.at(named, np.clip(at + 1, 0, last + 1), -1)
-    rest = np.flatnonzero(np.cumsum(named)[: last + 1] == 0)
+    stop = end - length + 1
+    names = np.bincount(np.minimum(at - far, stop[doc]), minlength=n + 1) - np.bincount(np.minimum(at + 1, stop[doc]), minlength=n + 1)
+    # nor does any name those whose windows end in another text
+    names += np.bincount(stop, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    rest = np.flatnonzero(np.cumsum(names)[:n] == 0)
     if len(rest):
         width = length - WINDOW + 1
         view = np.lib.stride_tricks.sliding_window_view(g, width)
         least = np.concatenate([view[rest[i : i + 4096]].argmin(axis=1) for i in range(0, len(rest), 4096)]) + rest
         new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (rest[1:] != rest[:-1] + 1))))
-        end = np.concatenate((new[1:], [len(rest)])) - 1
+        final = np.concatenate((new[1:], [len(rest)])) - 1
         at = np.concatenate((at, least[new]))
         far = np.concatenate((far, least[new] - rest[new]))
-        near = np.concatenate((near, least[new] - rest[end]))
+        near = np.concatenate((near, least[new] - rest[final]))
+        doc = np.concatenate((doc, np.searchsorted(bounds, rest[new], side="right") - 1))
     out = []
     # windows of a cell have about half their bytes in common, or more
     tier = min(TIER, length // 2 + WINDOW, length)
     for low in range(0, length, tier):
         sel = (far >= low) & (near < low + tier)
-        t = at[sel]
+        t, d = at[sel], doc[sel]
         first = t - np.minimum(far[sel], low + tier - 1)
-        final = np.minimum(t - np.maximum(near[sel], low), last)
+        final = np.minimum(t - np.maximum(near[sel], low), stop[d] - 1)
         ok = final >= first
-        t, first, final = t[ok], first[ok], final[ok]
+        t, d, first, final = t[ok], d[ok], first[ok], final[ok]
         # bytes common to all starts at distances low .. low + tier - 1
         a, b = t - low, t - (low + tier - 1) + length
-        core = tc.span_hash(h, a, np.minimum(b, n))
-        out.append((core, tc.span_hash(h, first, final + length), first, final - first + 1, t - first))
+        core = tc.span_hash(h, a, np.minimum(b, end[d]))
+        out.append((core, tc.span_hash(h, first, final + length), d, first - begin[d], final - first + 1, t - first))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -126,10 +134,15 @@ def _gathered(parts, fields: dict[str, pa.DataType]):
 def _cell_rows(length: int):
     def parts(batches):
         for batch in batches:
-            for rid, x in zip(batch.column("rid").to_numpy(), _texts(batch), strict=True):
-                if len(x) >= length:
-                    core, extent, start, size, reach = cells(tc.prefix_hash(x), len(x), length)
-                    yield core, extent, np.full(len(core), rid), start, size, reach
+            data, bounds = tc.column_bytes(batch.column("text"))
+            rid = batch.column("rid").to_numpy()
+            for i, j in tc.chunks(bounds):
+                size = np.diff(bounds[i : j + 1])
+                long = size >= length
+                if long.any():
+                    x = data[bounds[i] : bounds[j]][np.repeat(long, size)]
+                    core, extent, doc, start, count, reach = cells(x, np.concatenate(([0], np.cumsum(size[long]))), length)
+                    yield core, extent, rid[i:j][long][doc], start, count, reach
 
     return lambda batches: _gathered(parts(batches), CELLS)
 
@@ -333,6 +346,24 @@ def _long_spans(x: np.ndarray, gone: np.ndarray, words: int) -> tuple[np.ndarray
     return a, b
 
 
+def _piece_rows(length: int, shorter: int):
+    """(rid, text, shorter) -> (rid, at, text): the parts of a text all of whose strings of `shorter` bytes are repeated, if `length` bytes or longer."""
+
+    def rows(batches):
+        for batch in batches:
+            lists, out = batch.column("shorter"), []
+            for i, (rid, x) in enumerate(zip(batch.column("rid").to_pylist(), _texts(batch), strict=True)):
+                # runs of repeated starts
+                a, b = _spans(_covered(len(x), lists[i], 1))
+                for j, k in zip(a.tolist(), (b - 1 + shorter).tolist(), strict=True):
+                    if k - j >= length:
+                        out.append((rid, j, x[j:k].tobytes()))
+            if out:
+                yield _batch(out, PIECES)
+
+    return rows
+
+
 def _cut_rows(length: int, words: int, passage: int, passage_words: int, with_text: bool):
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passages", "passage_bytes"] if passage else [])]
     kinds = [pa.string() if n == "kept_sha256" else pa.int64() for n in names]
@@ -377,14 +408,17 @@ def suffix_dedup(docs: DataFrame, length: int = 400, words: int = 0, passage: in
     base = docs.select(*(F.col(f"`{c}`") for c in columns), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     base = base.withColumn("rid", F.xxhash64(*columns, "text"))
     listed = lambda starts, name: starts.groupBy("rid").agg(F.collect_list(F.struct("start", "len")).alias(name))
-    joined, among = base, base
     if passage:
-        shorter = repeated_starts(base, passage)
-        joined = joined.join(listed(shorter, "shorter"), "rid", "left")
-        # a repeated window holds length - passage + 1 repeated windows of the shorter kind
-        some = save(shorter.groupBy("rid").agg(F.sum("len").alias("n")).where(F.col("n") > length - passage).select("rid"))
-        among = save(base.select("rid", "text").join(some, "rid", "left_semi"))
-    joined = joined.join(listed(repeated_starts(among, length), "starts"), "rid", "left")
+        short = save(listed(repeated_starts(base, passage), "shorter"))
+        joined = base.join(short, "rid", "left")
+        # all shorter windows of a repeated window are repeated: it lies in a part that such ones cover, here and elsewhere
+        pieces = base.select("rid", "text").join(short, "rid").mapInArrow(tc.releasing(_piece_rows(length, passage)), _ddl(PIECES))
+        pieces = save(pieces.select(F.xxhash64("rid", "at", "text").alias("rid"), F.col("rid").alias("whole"), "at", "text"))
+        found = repeated_starts(pieces.select("rid", "text"), length)
+        starts = found.join(pieces.select("rid", "whole", "at").distinct(), "rid").select(F.col("whole").alias("rid"), (F.col("start") + F.col("at")).alias("start"), "len")
+    else:
+        joined, starts = base, repeated_starts(base, length)
+    joined = joined.join(listed(starts, "starts"), "rid", "left")
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), *(["text string"] if with_text else []), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["n_passages long, passage_bytes long"] if passage else [])])
     return joined.select(*columns, "text", "starts", *(["shorter"] if passage else [])).mapInArrow(tc.releasing(_cut_rows(length, words, passage, passage_words, with_text)), schema)
